@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid
-from .common import table
+from . import ctw, decontam, exact_dedup, langid, sentencepiece_bridge
+from .common import id_mod, table
+
+TOKENIZER = os.environ.get("NDCOLLECT_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bridge.encode(table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False).drop("ids")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out(5))
@@ -21,12 +29,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(5).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ctw.score(table(spark, sf_dir, "documents"), id_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_sentencepiece, op5_language_id, op7_lm_scoring, op10_decontamination)}
 
 
 _OP3 = """

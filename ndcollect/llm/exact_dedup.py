@@ -97,9 +97,9 @@ def _marked(docs: DataFrame, udf) -> DataFrame:
 
 def _verify(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows (doc_id, data, n_bytes, fp) with keep_id, size and eq: equal to the representative or not."""
-    met = materialize(rows.join(groups, ["fp", "n_bytes"]), "exact-met")
+    met = materialize(rows.join(groups.hint("merge"), ["fp", "n_bytes"]), "exact-met")
     first = materialize(met.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("fp", "n_bytes").agg(F.min("data").alias("first")), "exact-first")
-    return met.join(first, ["fp", "n_bytes"]).select("doc_id", "fp", "n_bytes", "keep_id", "size", F.sha2("data", 256).alias("sha"), same(F.col("data"), F.col("first"), F.col("n_bytes")).alias("eq"))
+    return met.join(first.hint("merge"), ["fp", "n_bytes"]).select("doc_id", "fp", "n_bytes", "keep_id", "size", F.sha2("data", 256).alias("sha"), same(F.col("data"), F.col("first"), F.col("n_bytes")).alias("eq"))
 
 
 def _groups(marks: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def groups(docs: DataFrame, *, digests=_digests) -> DataFrame:
     marked = _marked(docs, _udf(digests))
     marks = materialize(marked.select("doc_id", "fp", "n_bytes", F.sha2("data", 256).alias("sha")), "exact-marks")
     shared = materialize(_groups(marks), "exact-groups")
-    alone = marks.join(shared, ["fp", "n_bytes"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    alone = marks.join(shared.hint("merge"), ["fp", "n_bytes"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     found = materialize(_verify(marked, shared), "exact-found")
     parts, level = [alone], found
     while True:
@@ -134,4 +134,4 @@ def groups(docs: DataFrame, *, digests=_digests) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns, without the rows that have an equal text under a larger doc_id."""
     gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.sha2(text_of("text").cast("binary"), 256) == F.col("__sha")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.sha2(text_of("text").cast("binary"), 256) == F.col("__sha")), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, exact_dedup, langid, sentencepiece_bridge
+from . import ctw, decontam, exact_dedup, jaccard, langid, sentencepiece_bridge, toxicity
 from .common import id_mod, table
 
 TOKENIZER = os.environ.get("NDCOLLECT_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -29,17 +29,27 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(5).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ctw.score(table(spark, sf_dir, "documents"), id_mod("doc_id", 7) != 2)
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, scorer).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("restored_hits").alias("n_hits"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_sentencepiece, op5_language_id, op7_lm_scoring, op10_decontamination)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_sentencepiece, op5_language_id, op6_jaccard_join, op7_lm_scoring, op8_toxicity, op10_decontamination)}
 
 
 _OP3 = """

@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, exact_dedup, jaccard, langid, sentencepiece_bridge, toxicity
+from . import ctw, decontam, exact_dedup, jaccard, langid, line_dedup, sentencepiece_bridge, toxicity, url_filter
 from .common import id_mod, table
 
 TOKENIZER = os.environ.get("NDCOLLECT_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -44,12 +49,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("restored_hits").alias("n_hits"))
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is that of the labels row with its id: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_sentencepiece, op5_language_id, op6_jaccard_join, op7_lm_scoring, op8_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_language_id, op6_jaccard_join, op7_lm_scoring, op8_toxicity, op9_url_filter, op10_decontamination)}
 
 
 _OP3 = """
@@ -82,5 +97,51 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN whose USING (doc_id)
 """
 
 
+_OP2 = """
+WITH h AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+c AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l)
+             OR (((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 1000003 + h[i]) % 2147483647) % 3 = 0) AS e FROM h),
+p AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS place FROM c),
+t AS (SELECT doc_id, place, e[place] - (CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) AS n,
+             array_to_string(l[(CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) + 1 : e[place]], chr(10)) AS chunk FROM p),
+f AS (SELECT *, n >= 2 AND regexp_matches(chunk, '[^ \\t\\n\\r]')
+             AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM t)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
+       CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
+       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
+FROM f GROUP BY doc_id
+"""
+
+_OP9 = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, count(*) AS n, sum(bad) AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM p JOIN o USING (page_id) GROUP BY host),
+hh AS (SELECT host, n, bad, CASE WHEN len(l) < 2 THEN host ELSE array_to_string(l[-2:], '.') END AS domain,
+              CASE WHEN len(l) < 2 THEN '' ELSE l[-1] END AS suffix FROM h),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hh GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM s),
+sk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM s, g),
+sm AS (SELECT suffix, (k * m + bad) / (k + n) AS m FROM s, g, sk),
+dj AS (SELECT d.*, m FROM d JOIN sm USING (suffix)),
+dk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM dj),
+dm AS (SELECT suffix, domain, (k * m + bad) / (k + n) AS m FROM dj, dk),
+hj AS (SELECT hh.*, m FROM hh JOIN dm USING (suffix, domain)),
+hk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM hj),
+hm AS (SELECT host, (k * m + bad) / (k + n) AS m, k + n AS w FROM hj, hk),
+b AS (SELECT host FROM hm WHERE m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.25),
+r AS (SELECT page_id, max_by(rule, len(rule)) AS rule, max_by(what, len(rule)) AS what
+      FROM p JOIN (VALUES ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'), ('allow', 'www.example.com', '/', 'www.example.com/'),
+                          ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')) v(what, name, start, rule)
+      ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.what, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END AS reputation
+FROM p LEFT JOIN r USING (page_id) LEFT JOIN b ON p.host = b.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3, "op10_decontamination": _OP10}
+    return {"op2_line_dedup": _OP2, "op3_exact_dedup": _OP3, "op9_url_filter": _OP9, "op10_decontamination": _OP10}

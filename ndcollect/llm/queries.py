@@ -8,12 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, exact_dedup, jaccard, langid, line_dedup, sentencepiece_bridge, toxicity, url_filter
+from . import ctw, decontam, exact_dedup, jaccard, langid, line_dedup, sentencepiece_bridge, toxicity, url_filter, warc
 from .common import id_mod, table
 
 TOKENIZER = os.environ.get("NDCOLLECT_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record ids, links and digests of both derivatives of every page; the records' bytes as lengths and SHA-256."""
+    out = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "type", "refers_to", "target_uri", "date", "content_type", F.sha2(F.col("headers").cast("binary"), 256).alias("headers_sha256"), F.octet_length("block").cast("long").alias("block_bytes"), "block_digest", "payload_digest")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
@@ -64,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_language_id, op6_jaccard_join, op7_lm_scoring, op8_toxicity, op9_url_filter, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_line_dedup, op3_exact_dedup, op4_sentencepiece, op5_language_id, op6_jaccard_join, op7_lm_scoring, op8_toxicity, op9_url_filter, op10_decontamination)}
 
 
 _OP3 = """

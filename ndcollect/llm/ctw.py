@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, release, text_bytes, text_of
+from .common import by_bytes, materialize, mix64, release, text_bytes, text_of
 
 DEPTH = 5
 STOP = 3  # from this depth on, trees are weighed by part; what is above is small
@@ -234,15 +234,10 @@ def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
     return ((latest % groups) * np.uint64(_SPLIT) + third % np.uint64(_SPLIT)).astype(np.int64)
 
 
-def _slices(rows: pa.Table, most: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, offsets and learn flags of at most ``most`` documents at a time."""
-    rows = rows.combine_chunks()
-    for at in range(0, rows.num_rows, most):
-        part = rows.slice(at, most)
-        column = part.column("text")
-        array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        data, offsets = text_bytes(array.chunk(0) if isinstance(array, pa.ChunkedArray) else array)
-        yield data, offsets, np.asarray(part.column("learn").to_pylist(), bool)
+def _slices(rows: pa.Table, most: int = 60_000, most_bytes: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets and learn flags of a few documents at a time; a longer document comes alone."""
+    for batch in by_bytes(rows.select(["text", "learn"]).to_batches(max_chunksize=most), "text", most_bytes):
+        yield *text_bytes(batch.column("text")), np.asarray(batch.column("learn").to_pylist(), bool)
 
 
 def _sorted_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

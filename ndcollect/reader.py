@@ -297,7 +297,8 @@ class Dataset:
     def read_values(self, array: str, dtype: str | None = None, start: list[int] | None = None, shape: list[int] | None = None) -> list[Any]:
         """A window's values in row-major order, on the driver."""
         rows = self.read(array, dtype, start, shape)
-        return [r.value for r in rows.orderBy(*rows.columns[:-1]).collect()]
+        axes = rows.columns[:-1]
+        return [r.value for r in (rows.orderBy(*axes) if axes else rows).collect()]
 
     def touched_chunks(self, array: str, start: list[int], shape: list[int]) -> int:
         return chunk_count(start, shape, self.layout(array)["chunk_shape"])

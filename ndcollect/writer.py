@@ -21,7 +21,7 @@ from .reader import FORMAT, VERSION, Collection
 from .sources import location
 
 #: Codec names and what Parquet calls them.
-CODECS = {"zstd": "zstd", "lz4": "lz4raw", "none": "uncompressed"}
+CODECS = {"zstd": "zstd", "lz4": "lz4_raw", "none": "uncompressed"}
 
 
 def save(collection: Collection, destination: Any, codec: str = "zstd", block_bytes: int = 8 << 20) -> Collection:

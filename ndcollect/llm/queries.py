@@ -131,11 +131,9 @@ d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hh GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM s),
 sk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM s, g),
-sm AS (SELECT suffix, (k * m + bad) / (k + n) AS m FROM s, g, sk),
-dj AS (SELECT d.*, m FROM d JOIN sm USING (suffix)),
+dj AS (SELECT d.*, (sk.k * g.m + s.bad - d.bad) / (sk.k + s.n - d.n) AS m FROM d JOIN s USING (suffix), g, sk),
 dk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM dj),
-dm AS (SELECT suffix, domain, (k * m + bad) / (k + n) AS m FROM dj, dk),
-hj AS (SELECT hh.*, m FROM hh JOIN dm USING (suffix, domain)),
+hj AS (SELECT hh.*, (dk.k * dj.m + dj.bad - hh.bad) / (dk.k + dj.n - hh.n) AS m FROM hh JOIN dj USING (suffix, domain), dk),
 hk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM hj),
 hm AS (SELECT host, (k * m + bad) / (k + n) AS m, k + n AS w FROM hj, hk),
 b AS (SELECT host FROM hm WHERE m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.25),

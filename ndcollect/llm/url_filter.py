@@ -1,7 +1,8 @@
 """URL filtering by rules and by empirical-Bayes host reputation, in DataFrame functions only.
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and public suffix. Rates are shrunk
-down the hierarchy: the suffix towards the whole, the domain towards its suffix, the host towards its domain.
+down the hierarchy: the suffix towards the whole, the domain towards its suffix, the host towards its domain,
+each parent taken without the child's own outcomes.
 The strength of each beta prior follows from the spread of its level's rates around their parents (the
 method of moments for the beta-binomial), so a level whose members differ keeps their differences and a level
 of alike members is pooled. A host is blocked if the lower bound of its posterior bad rate (mean less ``z``
@@ -90,16 +91,22 @@ def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645) -> tu
     overall = ((total.bad or 0) + 0.5) / ((total.n or 0) + 1)
 
     def shrink(level: DataFrame, parent: Column) -> DataFrame:
-        k = _strength(level, parent)
-        a, b = F.lit(k) * parent + F.col("bad"), F.lit(k) * (1 - parent) + F.col("n") - F.col("bad")
+        k = F.lit(_strength(level, parent))
+        a, b = k * parent + F.col("bad"), k * (1 - parent) + F.col("n") - F.col("bad")
         mean = a / (a + b)
-        return level.withColumn("mean", mean).withColumn("low", mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (a + b + 1)))
-
-    suffixes = materialize(shrink(suffixes, F.lit(overall)).select("suffix", "mean", "low"), "url-suffixes")
-    domains = domains.join(suffixes.select("suffix", F.col("mean").alias("up")).hint("merge"), "suffix")
-    domains = materialize(shrink(domains, F.col("up")).select("suffix", "domain", "mean", "low"), "url-domains")
-    hosts = hosts.join(domains.select("suffix", "domain", F.col("mean").alias("up")).hint("merge"), ["suffix", "domain"])
-    hosts = materialize(shrink(hosts, F.col("up")).select("host", "n", "bad", "mean", "low"), "url-hosts")
+        low = mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (a + b + 1))
+        return level.select("*", k.alias("k"), parent.alias("prior"), mean.alias("mean"), low.alias("low"))
+
+    def below(level: DataFrame, above: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+        """The level with its parents, and each parent's mean by everything but the child's own outcomes."""
+        up = above.select(*keys, *(F.col(c).alias(f"up_{c}") for c in ("k", "prior", "n", "bad")))
+        mean = (F.col("up_k") * F.col("up_prior") + F.col("up_bad") - F.col("bad")) / (F.col("up_k") + F.col("up_n") - F.col("n"))
+        return level.join(up.hint("merge"), keys).withColumn("up", mean), F.col("up")
+
+    keep = ("n", "bad", "k", "prior", "mean", "low")
+    suffixes = materialize(shrink(suffixes, F.lit(overall)).select("suffix", *keep), "url-suffixes")
+    domains = materialize(shrink(*below(domains, suffixes, ["suffix"])).select("suffix", "domain", *keep), "url-domains")
+    hosts = materialize(shrink(*below(hosts, domains, ["suffix", "domain"])).select("host", *keep), "url-hosts")
     return hosts, {"domain": domains, "suffix": suffixes}, overall
 
 

@@ -51,22 +51,7 @@ def events(spark: SparkSession, sf: str, *, indexed: bool = True, fill=None, val
 
 def _counted(rows: DataFrame, dataset: str, arrays: dict[str, tuple], attrs=None) -> Collection:
     """A collection for statistics alone: each dataset is as long as it has rows."""
-    named = rows.withColumn("__one", F.lit(0).cast("long"))
-    out = from_dataframe(named, dataset, {k: ArraySpec(v, {"obs": "__one"}, t, f) for k, (v, t, f) in arrays.items()}, attrs)
-    sizes = named.groupBy(F.col(dataset).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).join(out.datasets, "name").select("ordinal", "n")
-    out.layouts = out.layouts.join(sizes, "ordinal").withColumn("shape", F.array("n")).drop("n")
-    parts = None
-    for name, (value, dtype, fill) in arrays.items():
-        cells = named.withColumn("name", F.col(dataset).cast("string")).join(F.broadcast(out.datasets), "name")
-        v = F.lit(None) if value is None else conversions.timestamp_to_ns(F.col(value)) if dtype == "timestamp_ns" else F.col(value)
-        from ..model import DTYPES, STORAGE
-
-        kind = STORAGE[DTYPES[dtype][0]]
-        cells = cells.select("ordinal", v.cast(kind).alias("value"), *([F.lit(fill).cast(kind).alias("fill_value")] if fill is not None else []))
-        part = statistics.partial(cells, out.layouts.where(F.col("array") == name), dtype)
-        parts = part if parts is None else parts.unionByName(part)
-    out.stats = parts
-    return out
+    return from_dataframe(rows, dataset, {k: ArraySpec(v, {"obs": None}, t, f) for k, (v, t, f) in arrays.items()}, attrs)
 
 
 def vectors(spark: SparkSession, sf: str, chunk: list[int] | None = None) -> Collection:

@@ -21,11 +21,12 @@ class ArraySpec:
     """One array: the column of its values, the axes it runs over, and how it is stored.
 
     ``axes`` maps dimension names to index columns (long, from 0). ``written`` marks rows whose cell is written;
-    other rows only contribute to the shape. ``shape`` fixes the sizes instead of deriving them.
+    other rows only contribute to the shape. ``shape`` fixes the sizes instead of deriving them. An axis without
+    an index column is as long as the dataset has rows; such an array has statistics but no chunks.
     """
 
     value: str | Column | None
-    axes: dict[str, str]
+    axes: dict[str, str | None]
     dtype: str | None = None
     fill: Any = None
     chunk: list[int] | None = None
@@ -48,9 +49,10 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
     coordinates, and whoever reads one of them runs only that.
     """
     spark = df.sparkSession
-    rows = df.withColumn("name", F.col(dataset).cast("string"))
-    datasets = ordinals(rows)
-    rows = rows.join(F.broadcast(datasets) if _few(datasets) else datasets, "name")
+    rows = df.withColumn("name", F.col(dataset).cast("string")).where("name IS NOT NULL")
+    few = _few(rows)
+    datasets = ordinals(rows) if few is None else spark.createDataFrame(list(enumerate(few)), tables.DATASETS)
+    rows = rows.join(datasets if few is None else F.broadcast(datasets), "name")
     layouts: DataFrame | None = None
     stats: DataFrame | None = None
     chunks: dict[str, DataFrame] = {}
@@ -64,7 +66,8 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
             value = timestamp_to_ns(value)
         fill = check_fill(dtype, spec.fill)
         names = list(spec.axes)
-        sizes = [F.lit(spec.shape[d]).cast("long") if d in spec.shape else (F.max(spec.axes[d]) + 1).cast("long") for d in names]
+        sizes = [F.lit(spec.shape[d]).cast("long") if d in spec.shape else F.count(F.lit(1)) if spec.axes[d] is None else (F.max(spec.axes[d]) + 1).cast("long") for d in names]
+        indexed = None not in spec.axes.values()
         shape = rows.groupBy("ordinal").agg(F.array(*sizes).cast("array<bigint>").alias("shape"))
         whole = F.transform("shape", lambda s: F.greatest(s, F.lit(1).cast("long")))
         chunk = whole if spec.chunk is None else F.zip_with(whole, F.array(*(F.lit(c).cast("long") for c in spec.chunk)), lambda a, b: F.least(a, b))
@@ -76,7 +79,7 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
         layouts = own if layouts is None else layouts.unionByName(own)
         cells = rows if spec.written is None else rows.where(spec.written)
         axes = [f"i{k}" for k in range(len(names))]
-        cells = cells.select("ordinal", *(F.col(spec.axes[d]).cast("long").alias(a) for d, a in zip(names, axes)), *([F.col(spec.sequence).alias("__seq")] if spec.sequence else []), value.cast(STORAGE[column]).alias("value"))
+        cells = cells.select("ordinal", *(F.col(spec.axes[d]).cast("long").alias(a) for d, a in zip(names, axes) if indexed), *([F.col(spec.sequence).alias("__seq")] if spec.sequence else []), value.cast(STORAGE[column]).alias("value"))
         if spec.value is None:
             cells = cells.limit(0)
         if spec.sequence:
@@ -84,7 +87,7 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
         held = cells if fill is None else cells.withColumn("fill_value", F.lit(fill).cast(STORAGE[column]))
         part = statistics.partial(held, own, dtype)
         stats = part if stats is None else stats.unionByName(part)
-        if spec.value is not None:
+        if spec.value is not None and indexed:
             sized = cells.join(own.select("ordinal", "shape", "chunk_shape"), "ordinal")
             packed = hyperslab.pack(sized, axes, [F.element_at("shape", k + 1) for k in range(len(axes))], [F.element_at("chunk_shape", k + 1) for k in range(len(axes))])
             packed = packed.withColumn("array", F.lit(name))
@@ -101,9 +104,10 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
     return Collection(spark, datasets, layouts if layouts is not None else empty(tables.LAYOUTS), attrs if attrs is not None else empty(tables.ATTRS), stats if stats is not None else empty(tables.STATS), empty(tables.MASK), chunks)
 
 
-def _few(datasets: DataFrame, most: int = 10_000) -> bool:
-    """Whether so few distinct names exist that their table may be broadcast: checked by a count that stops beyond ``most``."""
-    return datasets.limit(most + 1).count() <= most
+def _few(rows: DataFrame, most: int = 10_000) -> list[str] | None:
+    """The distinct names in order, if they are at most ``most``: then their table is small enough to broadcast. Null if not."""
+    names = [r.name for r in rows.select("name").distinct().limit(most + 1).collect()]
+    return sorted(names) if len(names) <= most else None
 
 
 def union(*collections: Collection) -> Collection:

@@ -32,9 +32,18 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Rows with their place among those of the same dataset, from 0."""
-    return rows.withColumn("i", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+def _numbered(rows: DataFrame, by: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """Rows with their place among those of the same dataset, from 0, in the order of an integer key.
+
+    Places are counted within stretches of ``width`` keys, and stretches are offset by running sums of their
+    counts, so a dataset with a third of all rows is still many tasks.
+    """
+    rows = rows.withColumn("__b", F.floor(F.col(order) / width))
+    counts = rows.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(by, "__b", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(by, "__b").orderBy(order)) - 1
+    return rows.withColumn("__place", place).join(offsets, [by, "__b"]).withColumn("i", (F.col("__place") + F.col("__before")).cast("long")).drop("__b", "__place", "__before")
 
 
 def events(spark: SparkSession, sf: str, *, indexed: bool = True, fill=None, value: str | None = "value", written=None, chunk: list[int] | None = None, attrs=None, dtype: str = "float64") -> Collection:
@@ -323,3 +332,78 @@ def collection_info(spark, sf):
     bounds = _final(c).select("min_value", "max_value", "row_count")
     one = lambda t: t.withColumn("__k", F.lit(1))
     return one(counts).join(one(arrays), "__k").join(one(schemas), "__k").join(one(bounds), "__k").drop("__k")
+
+
+@query(f"SELECT name, name IN ('click', 'view') AS live FROM (SELECT name FROM {_TYPES} UNION SELECT 'nothing') WHERE name IN ('click', 'view', 'error', 'nothing')")
+def dataset_exists(spark, sf):
+    """Of four names two are live: one is deleted, one was never there."""
+    c = _without(events(spark, sf, indexed=False), "error")
+    asked = spark.createDataFrame([("click",), ("view",), ("error",), ("nothing",)], "name string")
+    live = c.live().select("name", F.lit(True).alias("live"))
+    return asked.join(live, "name", "left").select("name", F.coalesce("live", F.lit(False)).alias("live"))
+
+
+@query("SELECT count(DISTINCT event_type) AS n FROM events")
+def total_datasets(spark, sf):
+    return _without(events(spark, sf, indexed=False), "click").datasets.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _orders(spark: SparkSession, sf: str) -> Collection:
+    """Orders by priority with four arrays, one of them a coordinate."""
+    arrays = {"key": ("o_orderkey", "int64"), "customer": ("o_custkey", "int64"), "status": ("o_orderstatus", "string"), "day": ("o_orderdate", "timestamp_ns")}
+    specs = {k: ArraySpec(v, {"obs": None}, t, "" if t == "string" else None, is_coordinate=k == "key") for k, (v, t) in arrays.items()}
+    attrs = {"n": ("int32", F.count(F.lit(1)).cast("int")), "highest": ("float64", F.max("o_totalprice")), "flag": ("bool", F.max((F.col("o_totalprice") > 400_000).cast("int")))}
+    return from_dataframe(_read(spark, sf, "orders"), "o_orderpriority", specs, attrs)
+
+
+_PRIORITIES = "(SELECT o_orderpriority AS name, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS ordinal FROM (SELECT DISTINCT o_orderpriority FROM orders))"
+_ARRAYS = "(VALUES (0, 'key', 'int64', TRUE), (1, 'customer', 'int64', FALSE), (2, 'status', 'string', FALSE), (3, 'day', 'timestamp_ns', FALSE)) a(position, \"array\", dtype, is_coordinate)"
+
+
+@query(f"SELECT ordinal, position, \"array\", dtype FROM {_PRIORITIES}, {_ARRAYS}")
+def schema_view(spark, sf):
+    c = _orders(spark, sf)
+    return c.schemas().select("ordinal", F.posexplode("schema.arrays").alias("position", "a")).select("ordinal", "position", F.col("a.name").alias("array"), F.col("a.dtype").alias("dtype"))
+
+
+@query(f"SELECT ordinal, CAST(0 AS INTEGER) AS schema_id FROM {_PRIORITIES}")
+def interned_schema_ids(spark, sf):
+    return catalogue.interned(_orders(spark, sf).schemas())
+
+
+@query(f"SELECT name, \"array\" FROM {_PRIORITIES}, {_ARRAYS} WHERE is_coordinate")
+def coordinate_flags(spark, sf):
+    c = _orders(spark, sf)
+    return c.layouts.where("is_coordinate").join(c.live(), "ordinal").select("name", "array")
+
+
+@query(f"SELECT ordinal, * EXCLUDE (ordinal) FROM {_PRIORITIES} JOIN (SELECT o_orderpriority AS name, unnest(['n', 'highest', 'flag']) AS key, unnest(['int32', 'float64', 'bool']) AS dtype, CAST(unnest([0, 1, 2]) AS INTEGER) AS pos, unnest([count(*), NULL, CAST(max(o_totalprice) > 400000 AS BIGINT)]) AS i, unnest([NULL, max(o_totalprice), NULL]) AS f FROM orders GROUP BY 1) USING (name)")
+def dataset_attributes(spark, sf):
+    c = _orders(spark, sf)
+    return c.attrs.where("array IS NULL").join(c.live(), "ordinal").select("ordinal", "name", "key", "dtype", "pos", "i", "f")
+
+
+@query(f"SELECT \"array\", dtype, is_coordinate, count(*) AS size, CASE \"array\" WHEN 'key' THEN min(o_orderkey) WHEN 'customer' THEN min(o_custkey) WHEN 'day' THEN min(epoch_us(o_orderdate)) * 1000 END AS min_i, CASE \"array\" WHEN 'status' THEN min(o_orderstatus) END AS min_s FROM orders, {_ARRAYS} WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY 1, 2, 3")
+def describe_dataset(spark, sf):
+    """Arrays of the first dataset with type, coordinate flag, size and lower bound."""
+    c = _orders(spark, sf)
+    own = c.layouts.where("ordinal = 0").join(c.stats.where("ordinal = 0").drop("dtype", "ordinal"), "array")
+    return own.select("array", "dtype", "is_coordinate", element_count(F.col("shape")).alias("size"), "min_i", F.col("min_b").cast("string").alias("min_s"))
+
+
+@query("SELECT 'x' AS fault WHERE FALSE")
+def validate_collection(spark, sf):
+    return _orders(spark, sf).validate()
+
+
+@query("SELECT \"array\", CASE \"array\" WHEN 'key' THEN max(o_orderkey) WHEN 'customer' THEN max(o_custkey) WHEN 'day' THEN max(epoch_us(o_orderdate)) * 1000 END AS max_i, count(*) AS row_count FROM orders, (VALUES ('key'), ('customer'), ('day'), ('status')) a(\"array\") GROUP BY 1")
+def info_array_stats(spark, sf):
+    c = _orders(spark, sf)
+    return statistics.final(catalogue.live(c.stats, c.mask)).select("array", "max_i", "row_count")
+
+
+@query("SELECT doc_id, len(string_split(text, ' ')) > 500 AS long, CASE WHEN len(string_split(text, ' ')) > 500 THEN 'json:[\"' || lang || '\"]' ELSE source END AS value FROM documents")
+def attribute_encoding(spark, sf):
+    """Scalars stay as they are; lists become JSON text."""
+    long = F.size(F.split("text", " ")) > 500
+    return _read(spark, sf, "documents").select("doc_id", long.alias("long"), F.when(long, F.concat(F.lit("json:"), F.to_json(F.array("lang")))).otherwise(F.col("source")).alias("value"))

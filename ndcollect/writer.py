@@ -41,7 +41,8 @@ def save(collection: Collection, destination: Any, codec: str = "zstd", block_by
         option(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write).parquet(f"{path}/{name}")
     for column, rows in collection.chunks.items():
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in tables.chunks(column)))
-        rows = rows.repartition("array", "ordinal").sortWithinPartitions("array", "ordinal", *(f"c{k}" for k in range(tables.AXES)))
+        place = ["array", "ordinal", *(f"c{k}" for k in range(tables.AXES))]
+        rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)  # by range, so one large dataset is many tasks
         option(rows.write).partitionBy("array").parquet(f"{path}/chunks/{column}")
     manifest = {"format": FORMAT, "version": VERSION, "created_ms": int(time.time() * 1000), "codec": codec, "chunks": sorted(collection.chunks), "id": uuid.uuid4().hex}
     location.write_text(spark, f"{path}/manifest.json", json.dumps(manifest))

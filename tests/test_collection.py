@@ -1,4 +1,4 @@
-"""The reference fixtures rebuilt as rows, with their hand-computed results."""
+"""Fixtures as rows, with hand-computed results."""
 
 import math
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, merged, mix64, release, text_of
+from .common import fewer, materialize, merged, mix64, release, text_of
 
 GRAM = 5
 SKETCH = 64
@@ -231,50 +231,48 @@ def _blocked(rows: DataFrame, size: str, key: str, half: int) -> DataFrame:
 
 def candidates(nodes: DataFrame, *, threshold: float, recall: float, bucket: int, depth: int, slack: float) -> DataFrame:
     """Edges (node, to) between nodes whose sketches agree in at least ``threshold - slack``, connected as in the buckets."""
-    edges: list[DataFrame] = []
-    keys = nodes.select("node", "sketch").repartition(nodes.sparkSession.sparkContext.defaultParallelism).mapInArrow(_grow(threshold, runs_for(recall, threshold, depth)), "key long, node long")
+    edges: DataFrame | None = None
+    spark = nodes.sparkSession
+    keys = nodes.select("node", "sketch").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_grow(threshold, runs_for(recall, threshold, depth)), "key long, node long")
     for level in range(1, depth + 1):
-        keys = materialize(keys, "jaccard-keys")
-        sizes = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-sizes")
+        sizes = materialize(fewer(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "jaccard-sizes")
         live = keys.join(sizes.hint("merge"), "key").join(nodes.select("node", "sketch").hint("merge"), "node")
-        live = materialize(live.select("key", "node", "n", "sketch"), "jaccard-live")
+        live = materialize(fewer(live.select("key", "node", "n", "sketch")), "jaccard-live")
         near = live if level == depth else live.where(F.col("n") <= bucket)
         met = _blocked(near, "n", "key", max(1, bucket // 2)).select("key", "cell", "node", "sketch")
-        found = met.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(threshold - slack), "node long, to long")
-        edges.append(materialize(found.distinct(), "jaccard-edges"))
-        release(nodes.sparkSession)
+        found = fewer(met.repartition("key", "cell").sortWithinPartitions("key", "cell")).mapInArrow(_compare(threshold - slack), "node long, to long")
+        edges = found if edges is None else edges.unionByName(found)
+        release(spark)
         if level < depth:
             large = live.where(F.col("n") > bucket)
             if large.isEmpty():
                 break
-            keys = large.repartition("key", "node").mapInArrow(_grow(threshold, None), "key long, node long")
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out.distinct()
+            keys = fewer(large.repartition("key", "node")).mapInArrow(_grow(threshold, None), "key long, node long")
+    return edges
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge to a smaller one has just that edge, and nobody has an edge to it."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node on an edge (node, to): the smallest node connected to it.
 
-    Alternating large-star and small-star steps; every step is an aggregate and a merge join, both on written tables.
+    Alternating large-star and small-star steps until only stars are left; every step is an aggregate and a
+    merge join, both on written tables.
     """
-    edges = materialize(edges.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).where("a <> b").distinct(), "components")
-    before = None
-    while True:
+    edges = materialize(fewer(edges.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).where("a <> b").distinct()), "components")
+    while not _stars(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-low")
+        low = materialize(fewer(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "components-low")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = materialize(large.where("a <> b").distinct(), "components")
-        low = materialize(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "components-low")
+        edges = materialize(fewer(large.where("a <> b").distinct()), "components")
+        low = materialize(fewer(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))), "components-low")
         small = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(low.hint("merge"), "u")
-        edges = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "components")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if now == before:
-            break
-        before = now
-    pairs = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
-    return pairs.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        edges = materialize(fewer(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()), "components")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,14 +307,18 @@ def similar(sets: list[np.ndarray], threshold: tuple[int, int], most: int = 1 <<
 
 
 def _verify(threshold: tuple[int, int]):
-    """By cell and member: the weight of verified links of pairs that this cell answers for, and a linked member of least index."""
+    """By cell and member: the weight of verified links of pairs that this cell answers for, and the first member it is connected to.
+
+    ``whole`` marks cells that hold their whole component: there, that member names the class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, ["label", "cell"]):
             label, cell, node, block, weight = (batch.column(c).to_numpy() for c in ("label", "cell", "node", "block", "weight"))
+            whole = batch.column("whole").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (cell[1:] != cell[:-1]), True])
             grams = batch.column("grams")
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a < 2:
                     continue
@@ -330,8 +332,9 @@ def _verify(threshold: tuple[int, int]):
                 out[0].append(node[a:b])
                 out[1].append(node[a:b][root])
                 out[2].append(like @ weight[a:b])
+                out[3].append(whole[a:b])
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["node", "to", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["node", "to", "links", "whole"])
 
     return run
 
@@ -342,24 +345,29 @@ def links(docs: DataFrame, *, threshold: tuple[int, int] = (4, 5), recall: float
     schema = T.StructType([docs.schema["doc_id"], *_NODES.fields[1:]])
     embedded = materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(_embed, schema), "jaccard-embedded")
     known = embedded.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+    nodes = materialize(fewer(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"))), "jaccard-nodes")
     edges = candidates(nodes, threshold=level, recall=recall, bucket=bucket, depth=depth, slack=slack)
-    grouped = materialize(components(edges), "jaccard-components")
-    sizes = materialize(grouped.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "jaccard-component-sizes")
+    grouped = materialize(fewer(components(edges)), "jaccard-components")
+    sizes = materialize(fewer(grouped.groupBy("label").agg(F.count(F.lit(1)).alias("n"))), "jaccard-component-sizes")
     members = grouped.join(sizes.hint("merge"), "label").join(nodes.drop("sketch").hint("merge"), "node")
-    members = materialize(members.select("node", "label", "n", "weight", F.col("rep").alias("doc_id")), "jaccard-members")
+    members = materialize(fewer(members.select("node", "label", "n", "weight", F.col("rep").alias("doc_id"))), "jaccard-members")
     texts = docs.select("doc_id", text_of("text").alias("text")).join(members.hint("merge"), "doc_id")
-    sets = materialize(texts.mapInArrow(_sets, "node long, label long, n long, weight long, grams binary").dropDuplicates(["node"]), "jaccard-sets")
+    sets = materialize(fewer(fewer(texts).mapInArrow(_sets, "node long, label long, n long, weight long, grams binary").dropDuplicates(["node"])), "jaccard-sets")
     release(docs.sparkSession)
-    met = _blocked(sets, "n", "label", max(1, bucket // 2)).select("label", "cell", "block", "node", "weight", "grams")
-    verified = met.repartition("label", "cell").sortWithinPartitions("label", "cell").mapInArrow(_verify(threshold), "node long, to long, links long")
+    half = max(1, bucket // 2)
+    met = _blocked(sets, "n", "label", half).select("label", "cell", "block", "node", "weight", (F.col("n") <= 2 * half).alias("whole"), "grams")
+    verified = fewer(met.repartition("label", "cell").sortWithinPartitions("label", "cell")).mapInArrow(_verify(threshold), "node long, to long, links long, whole boolean")
     verified = materialize(verified, "jaccard-verified")
-    classes = materialize(components(verified.select("node", "to")), "jaccard-classes")
-    count = materialize(verified.groupBy("node").agg(F.sum("links").alias("links")), "jaccard-counts")
-    placed = nodes.select("node", "rep", "weight").join(classes.hint("merge"), "node", "left").join(count.hint("merge"), "node", "left")
-    placed = materialize(placed.select("node", F.coalesce("label", "node").alias("label"), "rep", "weight", F.coalesce("links", F.lit(0)).alias("links")), "jaccard-placed")
-    named = materialize(placed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("weight").alias("class_size")), "jaccard-named")
-    result = materialize(placed.join(named.hint("merge"), "label").select("node", "class_id", "class_size", (F.col("links") + F.col("weight") - 1).alias("n_links")), "jaccard-result")
+    own = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("to"))).alias("own_label"))
+    placed = nodes.select("node", "rep", "weight").join(own.hint("merge"), "node", "left")
+    parts = verified.where("NOT whole").select("node", "to")
+    if parts.isEmpty():
+        placed = placed.withColumn("label", F.lit(None).cast("long"))
+    else:
+        placed = placed.join(components(parts).hint("merge"), "node", "left")
+    placed = materialize(fewer(placed.select("node", F.coalesce("own_label", "label", "node").alias("label"), "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"))), "jaccard-placed")
+    named = materialize(fewer(placed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("weight").alias("class_size"))), "jaccard-named")
+    result = placed.join(named.hint("merge"), "label").select("node", "class_id", "class_size", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     linked = known.select("doc_id", "node").join(result.hint("merge"), "node").select("doc_id", "class_id", "n_links", "class_size")
     alone = embedded.where("node IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
     return linked.unionByName(alone)

@@ -37,9 +37,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def fewer(df: DataFrame) -> DataFrame:
-    """The rows in at most four partitions a core, without a shuffle: for rows that are small or streamed through,
-    where a task a shuffle partition would cost more in starting than in work. Groups stay together and sorted."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """The rows in fewer partitions (four a core, or an eighth of the shuffle partitions where those are more),
+    without a shuffle: for rows that are small or streamed through, where a task a shuffle partition would cost
+    more in starting than in work. Groups stay together and sorted."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def release(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, modest_batches, text_of, tidy
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 65 <= b <= 90 or b in _WORD else 32 for b in range(256))
@@ -174,6 +174,7 @@ def _pass(blocks, names: list[str]):
                 spans.append(_pack(union_spans(before + new) if before else new))
                 items.append(sorted({*known, *whose}))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*names, "__spans", "__items"])
+        tidy()
 
     return run
 
@@ -183,8 +184,10 @@ def match(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_word
     return _match(docs.select("doc_id", "text"), benchmark, window, block_words)
 
 
-def _match(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+def _match(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, then=None, then_schema=None) -> DataFrame:
+    """``then`` (of ``then_schema``) takes the last block's batches in the same worker."""
     spark = docs.sparkSession
+    modest_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of("text").alias("text")).where("item_id IS NOT NULL")
     total = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     n = max(1, -(-total // block_words))
@@ -196,10 +199,16 @@ def _match(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
         automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r[0], words_of(r[1])) for r in block], window))
         if k:
             out = materialize(out, "decontam")
-        out = out.mapInArrow(_pass(automaton, names), schema)
+        step = _pass(automaton, names)
+        last = k == n - 1 and then is not None
+        out = out.mapInArrow(_chain(step, then) if last else step, then_schema if last else schema)
     return out
 
 
+def _chain(first, second):
+    return lambda batches: second(first(batches))
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_hit, n_items, sha, coverage = [], [], [], [], []
@@ -218,7 +227,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit share ``coverage``."""
-    return match(docs, benchmark, window=window, block_words=block_words).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, coverage double")
+    fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, coverage double"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {fields}"
+    return _match(docs.select("doc_id", "text"), benchmark, window, block_words, _digest, schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -261,4 +272,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, co
     document of whose words more than ``coverage`` are hit goes. Clean rows come back unchanged."""
     names = docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
-    return _match(docs, benchmark, window, block_words).mapInArrow(_cut_pass(names.index("text"), len(names), chars, coverage), docs.schema)
+    return _match(docs, benchmark, window, block_words, _cut_pass(names.index("text"), len(names), chars, coverage), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import materialize, modest_batches, text_of
 
 PRIME = (1 << 120) + 12421  # a test checks that it is prime
 CHUNK = 1 << 13
@@ -108,6 +108,7 @@ def _groups(marks: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, *, digests=_digests) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256. ``digests`` gives the fingerprints of a series."""
+    modest_batches(docs.sparkSession)
     marked = _marked(docs, _udf(digests))
     marks = materialize(marked.select("doc_id", "fp", "n_bytes", F.sha2("data", 256).alias("sha")), "exact-marks")
     shared = materialize(_groups(marks), "exact-groups")

@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fewer, materialize, merged, mix64, release, text_of
+from .common import fewer, materialize, merged, mix64, modest_batches, release, text_of, tidy
 
 GRAM = 5
 SKETCH = 64
+SLICE = 512 << 10  # bytes of text worked on at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -105,7 +106,7 @@ _NODES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("nod
 
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in merged(batches, "text", 2 << 20):
+    for batch in merged(batches, "text", SLICE):
         sets = gram_sets([t or "" for t in batch.column("text").to_pylist()])
         full = [i for i, s in enumerate(sets) if len(s)]
         node, sketch = np.zeros(len(sets), np.int64), [None] * len(sets)
@@ -147,13 +148,14 @@ def _grow(threshold: float, runs: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 sketch, node = _tokens(batch.column("sketch").to_pylist()), batch.column("node").to_numpy()
                 parents = [np.full(len(node), r, np.int64) for r in range(runs)] if runs else [batch.column("key").to_numpy()]
                 for parent in parents:
                     row, key = _children(parent, sketch, threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row])], names=["key", "node"])
+        tidy()
 
     return run
 
@@ -188,6 +190,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[p
         rest = rows.slice(cut)
     if rest is not None and rest.num_rows:
         yield rest.combine_chunks().to_batches()[0]
+    tidy()
 
 
 def _compare(least: float):
@@ -276,7 +279,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in merged(batches, "text", 2 << 20):
+    for batch in merged(batches, "text", SLICE):
         sets = gram_sets([t or "" for t in batch.column("text").to_pylist()])
         node = batch.column("node").to_numpy()
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -341,6 +344,7 @@ def _verify(threshold: tuple[int, int]):
 
 def links(docs: DataFrame, *, threshold: tuple[int, int] = (4, 5), recall: float = 0.999, bucket: int = 1000, depth: int = 3, slack: float = 0.18) -> DataFrame:
     """doc_id, class_id (smallest id of the class), n_links (documents linked to this one, copies included), class_size."""
+    modest_batches(docs.sparkSession)
     level = threshold[0] / threshold[1]
     schema = T.StructType([docs.schema["doc_id"], *_NODES.fields[1:]])
     embedded = materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(_embed, schema), "jaccard-embedded")

@@ -29,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_mod, materialize, merged, text_of
+from .common import id_mod, materialize, merged, modest_batches, text_of
 
 ORDER = 5
 BITS = 12
+SLICE = 512 << 10  # bytes of text worked on at once
 _DIRECT = 3072
 SYMBOLS = 1 << BITS
 _tables: list[np.ndarray] = []
@@ -186,7 +187,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in merged(batches, "text", 4 << 20):
+    for batch in merged(batches, "text", SLICE):
         langs = batch.column("lang").to_pylist()
         texts = batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
@@ -201,6 +202,7 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sample_docs: int = 2000
     The sample is the rows with the smallest hash of id and language; its size follows the bound, not the table.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(learn) if learn is not None else rows
     per = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -233,7 +235,7 @@ def _calibrate(model: LanguageModels, apart: DataFrame, learned: DataFrame) -> N
     shared = apart.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text", 4 << 20):
+        for batch in merged(batches, "text", SLICE):
             h, n, letters = shared.value.entropy([t or "" for t in batch.column("text").to_pylist()])
             ok = pa.array(letters & (n > 0))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(list(h), pa.list_(pa.float64()))], names=["lang", "n", "h"]).filter(ok)
@@ -269,10 +271,11 @@ def predict(docs: DataFrame, model: LanguageModels) -> DataFrame:
 
 
 def _annotate(docs: DataFrame, model: LanguageModels) -> DataFrame:
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text", 2 << 20):
+        for batch in merged(batches, "text", SLICE):
             lang, score, rejected, h = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(h, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "rejected", "cross_entropy"])
 
@@ -286,11 +289,12 @@ def held_out(n: int = 5) -> Column:
 
 def keep_identified(docs: DataFrame, model: LanguageModels) -> DataFrame:
     """``docs`` with its columns, without the rows whose text is rejected."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text", 2 << 20):
+        for batch in merged(batches, "text", SLICE):
             rejected = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])[2]
             yield batch.filter(pa.array([not r for r in rejected]))
 

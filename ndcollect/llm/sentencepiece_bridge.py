@@ -22,7 +22,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merged, text_of
+from .common import merged, modest_batches, text_of, tidy
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -159,7 +158,11 @@ def expected(model: Model, tokenizer, text: str) -> str:
 
 
 _WORD = re.compile(" +[^ ]*|[^ ]+")
-MOST_WORDS = 500_000  # looked-up words a task keeps; beyond, it starts afresh
+MOST_WORDS = 300_000  # looked-up words a task keeps; beyond, it starts afresh
+
+
+def unpacked(data: bytes | None) -> list[int]:
+    return np.frombuffer(data or b"", "<i4").tolist()
 
 
 class Codec:
@@ -177,39 +180,43 @@ class Codec:
         self.identity = not m.charsmap and not m.remove_extra_whitespaces and m.escape_whitespaces
         special = any(kind == USER_DEFINED for _, _, kind in m.pieces)
         self.by_word = self.identity and not special and not any(META in p.lstrip(META) for p, _, _ in m.pieces)
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}  # packed ids
         if self.by_word:
             self._bare = backend(m)
             self._bare.normalizer = None
-            self._words_decoder = backend(m)
-            self._words_decoder.decoder = decoders.Sequence([decoders.Replace(META, " "), decoders.ByteFallback(), decoders.Fuse()])
+            self._bare.decoder = decoders.Sequence([decoders.Replace(META, " "), decoders.ByteFallback(), decoders.Fuse()])
             self._astray: set[str] = set()  # words that their ids don't give again
 
-    def round_trips(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+    def _split(self, text: str) -> list[str]:
+        prefix = " " if self.model.dummy_prefix else ""
+        return _WORD.findall(prefix + text.replace(META, " ")) if text else []
+
+    def round_trips(self, texts: list[str], packed: list[bytes]) -> list[bool]:
         """Whether decoding gives each normalised text again. Word by word where words are encoded apart: their
         bytes never join over a space, so a text's decoding is that of its words end to end."""
         if not self.by_word:
-            return [b == self.normalised(t) for b, t in zip(self.decode(ids), texts)]
-        if not self._astray:
-            return [True] * len(texts)
-        prefix = " " if self.model.dummy_prefix else ""
-        return [self._astray.isdisjoint(_WORD.findall(prefix + t.replace(META, " "))) for t in texts]
+            return [b == self.normalised(t) for b, t in zip(self.decode([unpacked(p) for p in packed]), texts)]
+        return [not self._astray or self._astray.isdisjoint(self._split(t)) for t in texts]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        prefix = " " if self.model.dummy_prefix else ""
-        parts = [_WORD.findall(prefix + t.replace(META, " ") if t else "") for t in texts]
+            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+            return [np.array(e.ids, "<i4").tobytes() for e in got]
+        parts = [self._split(t) for t in texts]
         known = self._words
         if len(known) > MOST_WORDS:
             known.clear()
         new = list({w for words in parts for w in words if w not in known})
-        marked = [w.replace(" ", META) for w in new]
-        ids = [e.ids for e in self._bare.encode_batch_fast(marked, add_special_tokens=False)] if new else []
-        known.update(zip(new, ids))
-        back = self._words_decoder.decode_batch(ids, skip_special_tokens=False) if new else []
-        self._astray.update(w for w, b in zip(new, back) if w != b)
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in parts]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            ids = [e.ids for e in self._bare.encode_batch_fast([w.replace(" ", META) for w in some], add_special_tokens=False)]
+            known.update((w, np.array(i, "<i4").tobytes()) for w, i in zip(some, ids))
+            self._astray.update(w for w, b in zip(some, self._bare.decode_batch(ids, skip_special_tokens=False)) if w != b)
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [unpacked(p) for p in self.packed(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -248,26 +255,29 @@ def encode(docs: DataFrame, model: str | bytes, *, parity_every: int = 16, with_
     if isinstance(model, str):
         with open(model, "rb") as f:
             model = f.read()
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for batch in merged(batches, "text", 1 << 20):
+        for batch in merged(batches, "text", 512 << 10):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = codec.encode(texts)
-            ok = codec.round_trips(texts, ids)
+            packed = codec.packed(texts)
+            ok = codec.round_trips(texts, packed)
             probe = [i for i, c in enumerate(batch.column("check").to_pylist()) if c]
             parity: list[bool | None] = [None] * len(texts)
             if probe:
                 some = [texts[i] for i in probe]
-                for i, t, r, b in zip(probe, some, codec.reference(some), codec.decode([ids[i] for i in probe])):
-                    parity[i] = ids[i] == r
+                for i, t, r, b in zip(probe, some, codec.reference(some), codec.decode([unpacked(packed[i]) for i in probe])):
+                    parity[i] = unpacked(packed[i]) == r
                     ok[i] = ok[i] and b == codec.normalised(t)
-            packed = [np.array(x, "<i4").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed if with_ids else [None] * len(packed), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array(ok, pa.bool_()), pa.array(parity, pa.bool_())],
+                [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed if with_ids else [None] * len(packed), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array(ok, pa.bool_()), pa.array(parity, pa.bool_())],
                 names=["doc_id", "n_tokens", "ids", "ids_sha256", "round_trip", "parity"],
             )
+        del codec
+        _codecs.clear()  # the worker may go on to other steps
+        tidy()
 
     rows = docs.select("doc_id", text_of("text").alias("text"), (F.pmod(F.xxhash64("doc_id"), F.lit(parity_every)) == 0).alias("check"))
     return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *ENCODED.fields]))
@@ -283,7 +293,7 @@ def decode(encoded: DataFrame, model: str | bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            texts = codec.decode([np.frombuffer(x or b"", "<i4").tolist() for x in batch.column("ids").to_pylist()])
+            texts = codec.decode([unpacked(x) for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, T.StructType([encoded.schema["doc_id"], T.StructField("text", T.StringType())]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, modest_batches
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>",
@@ -147,6 +147,7 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, http:
 
 def derive(responses: DataFrame, *, slice_bytes: int = 4 << 20) -> DataFrame:
     """Two rows (``RECORD``) for every row of record_id, target_uri, date, http_headers, payload. Narrow: no shuffle."""
+    modest_batches(responses.sparkSession)
     rows = responses.select(*(F.col(c).cast("string").alias(c) for c in ("record_id", "target_uri", "date", "http_headers")), F.col("payload").cast("string").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,12 +18,12 @@ def timestamp_to_ns(ts: Column) -> Column:
 
 def ns_to_timestamp(ns: Column) -> Column:
     """A timestamp without zone, cut to microseconds; the canonical value stays the integer."""
-    return F.timestamp_micros(F.floor(ns / 1000).cast("long")).cast("timestamp_ntz")
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))).cast("timestamp_ntz")
 
 
 def duration_to_ns(interval: Column) -> Column:
     """Nanoseconds of a day-time interval."""
-    return F.expr("1") * 0 + (F.extract(F.lit("DAY"), interval) * 86_400_000_000_000 + F.extract(F.lit("HOUR"), interval) * 3_600_000_000_000 + F.extract(F.lit("MINUTE"), interval) * 60_000_000_000).cast("long") + (F.extract(F.lit("SECOND"), interval) * 1_000_000_000).cast("long")
+    return (F.extract(F.lit("DAY"), interval) * 86_400_000_000_000 + F.extract(F.lit("HOUR"), interval) * 3_600_000_000_000 + F.extract(F.lit("MINUTE"), interval) * 60_000_000_000).cast("long") + (F.extract(F.lit("SECOND"), interval) * 1_000_000_000).cast("long")
 
 
 def dataset_name(path: Column) -> Column:

@@ -6,11 +6,13 @@ each parent taken without the child's own outcomes.
 The strength of each beta prior follows from the spread of its level's rates around their parents (the
 method of moments for the beta-binomial), so a level whose members differ keeps their differences and a level
 of alike members is pooled. A host is blocked if the lower bound of its posterior bad rate (mean less ``z``
-standard deviations) is above ``limit``; hosts that no page with an outcome has get their domain's, suffix's
-or the overall prior.
+standard deviations) is above ``limit``. Hosts that no page with an outcome has are judged by their prior: the mean is
+that of their domain, else suffix, else the whole, the strength that of the host level, lessened by that of each
+level without outcomes.
 
 Outcomes are summed by host before anything meets (one row a host, however many pages), the three prior
-strengths are single numbers, and the pages meet the table of hosts in one merge join that AQE can split.
+strengths are single numbers, hosts without outcomes are made distinct before they meet their domains and
+suffixes, and the pages meet the table of blocked hosts in one merge join that AQE can split.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged
 like an unknown host; hosts that are addresses or have no dot are their own domain; outcomes of unknown pages
@@ -110,13 +112,31 @@ def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645) -> tu
     return hosts, {"domain": domains, "suffix": suffixes}, overall
 
 
+def unseen(pages: DataFrame, hosts: DataFrame, levels: dict[str, DataFrame], overall: float, *, z: float = 1.645) -> DataFrame:
+    """host, mean and low of the hosts of ``pages`` (with a column host) that ``hosts`` lacks, by what ``reputation`` gave."""
+    found = [level.select("k").first() for level in (hosts, levels["domain"], levels["suffix"])]
+    if None in found:
+        return pages.sparkSession.createDataFrame([], "host string, mean double, low double")
+    of_host, of_domain, of_suffix = (r.k / (r.k + 1) for r in found)  # what is left of a unit's variance within it
+    domain, suffix = domain_and_suffix(F.col("host"))
+    met = materialize(pages.select("host").distinct(), "url-met")  # else the join would be pushed below, to all pages
+    new = met.join(hosts.select("host").hint("merge"), "host", "left_anti")
+    new = new.withColumn("domain", domain).withColumn("suffix", suffix)
+    new = new.join(levels["domain"].select("suffix", "domain", F.col("mean").alias("d")).hint("merge"), ["suffix", "domain"], "left")
+    new = new.join(levels["suffix"].select("suffix", F.col("mean").alias("s")).hint("merge"), "suffix", "left")
+    mean = F.coalesce("d", "s", F.lit(overall))
+    within = F.lit(of_host) * F.when(F.col("d").isNotNull(), 1.0).otherwise(of_domain) * F.when(F.coalesce("d", "s").isNotNull(), 1.0).otherwise(of_suffix)
+    return new.select("host", mean.alias("mean"), (mean - F.lit(z) * F.sqrt(mean * (1 - mean) * (1 - within))).alias("low"))
+
+
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *, limit: float = 0.25, z: float = 1.645) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's own verdict ``reputation`` of every page."""
-    hosts, _, _ = reputation(pages, outcomes, z=z)
+    hosts, levels, overall = reputation(pages, outcomes, z=z)
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
-    bad = hosts.where(F.col("low") > limit).select("host", F.lit(True).alias("bad_host"))
+    known = hosts.select("host", "low").unionByName(unseen(parsed, hosts, levels, overall, z=z).select("host", "low"))
+    bad = known.where(F.col("low") > limit).select("host", F.lit(True).alias("bad_host"))
     met = parsed.join(materialize(bad, "url-blocked").hint("merge"), "host", "left")
     own = F.when(F.col("bad_host"), F.lit("block")).otherwise(F.lit("allow"))
     return met.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"), own.alias("reputation"))

@@ -110,6 +110,21 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert got == {"bad.x.org": "block", "good.x.org": "allow", "new.bad.org": "allow", "other.y.org": "allow", "z.co.uk": "allow", "never.seen.org": "allow"}
 
 
+def test_hosts_without_outcomes_are_judged_by_their_domain(spark):
+    rng = random.Random(3)
+    pages, outcomes = [], []
+    for h, n, p in (("a.bad.org", 300, 0.95), ("b.bad.org", 300, 0.9), ("a.good.org", 300, 0.02), ("b.good.org", 300, 0.03), ("x.mild.net", 300, 0.05)):
+        for _ in range(n):
+            pages.append((len(pages), f"http://{h}/p"))
+            outcomes.append((len(pages) - 1, int(rng.random() < p)))
+    for h in ("new.bad.org", "deep.new.bad.org:8080", "bad.org", "new.good.org", "new.other.org", "new.other.xyz"):
+        pages += [(len(pages) + k, f"http://{h}/{k}") for k in range(2)]
+    pages.append((len(pages), None))
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), []).collect()
+    got = {r.host: r.verdict for r in rows}
+    assert len(rows) == len(pages) and {h for h, v in got.items() if v == "block"} == {"a.bad.org", "b.bad.org", "new.bad.org", "deep.new.bad.org:8080", "bad.org"}
+
+
 def brute_hits(docs, items, window=10):
     out = []
     for i, t in docs:

@@ -4,11 +4,12 @@ The model file is parsed here (protobuf wire format, only the fields that encodi
 compiled normaliser map, the dummy prefix and white-space rules, the metaspace marker, unigram scores or BPE
 merges (a merge for every split of a piece into two pieces, by the piece's score), byte fallback and the
 decoder. Batches are encoded with the library's threads. Every row of ``encode`` is verified: the decoded
-ids must give the normalised text again, and a stated share of rows is also encoded by the SentencePiece
-library itself and must have the same ids (``parity``).
+ids must give the normalised text again, and the SentencePiece library itself must give the same ids (``parity``).
 
 Where no piece has a metaspace after another character, no merge crosses the start of a word: words are then
-encoded apart, which changes nothing in the result, and a word that comes again in a task is looked up.
+encoded apart, which changes nothing in the result, and a word that comes again in a task is looked up. Both
+verifications are then done for each distinct word when it is first met, and for a stated share of rows on the
+whole text as well; for other models, on every row's whole text.
 
 Defined cases: a null or empty text has no ids; lone surrogates are replaced as the decoder of UTF-8 would;
 extra columns are ignored by ``encode``.
@@ -179,13 +180,15 @@ class Codec:
         m = self.model
         self.identity = not m.charsmap and not m.remove_extra_whitespaces and m.escape_whitespaces
         special = any(kind == USER_DEFINED for _, _, kind in m.pieces)
-        self.by_word = self.identity and not special and not any(META in p.lstrip(META) for p, _, _ in m.pieces)
+        fuses = not m.byte_fallback and not any(p == META for p, _, _ in m.pieces)  # unknown characters of two words
+        self.by_word = self.identity and not special and not fuses and not any(META in p.lstrip(META) for p, _, _ in m.pieces)
         self._words: dict[str, bytes] = {}  # packed ids
         if self.by_word:
             self._bare = backend(m)
             self._bare.normalizer = None
             self._bare.decoder = decoders.Sequence([decoders.Replace(META, " "), decoders.ByteFallback(), decoders.Fuse()])
             self._astray: set[str] = set()  # words that their ids don't give again
+            self._differ: set[str] = set()  # words whose ids aren't the SentencePiece library's
 
     def _split(self, text: str) -> list[str]:
         prefix = " " if self.model.dummy_prefix else ""
@@ -198,6 +201,23 @@ class Codec:
             return [b == self.normalised(t) for b, t in zip(self.decode([unpacked(p) for p in packed]), texts)]
         return [not self._astray or self._astray.isdisjoint(self._split(t)) for t in texts]
 
+    def parities(self, texts: list[str], packed: list[bytes]) -> list[bool]:
+        """Whether the SentencePiece library gives each text the same ids. Word by word where words are encoded
+        apart: neither library joins anything over a word's start, so a text's ids are those of its words."""
+        if not self.by_word:
+            return [unpacked(p) == r for p, r in zip(packed, self.reference(texts))]
+        return [not self._differ or self._differ.isdisjoint(self._split(t)) for t in texts]
+
+    def _by_library(self, words: list[str]) -> list[list[int]]:
+        """The SentencePiece library's ids of words as ``_split`` gives them."""
+        if not self.model.dummy_prefix:
+            return self.reference(words)
+        out = self.reference([w[1:] for w in words])  # the library puts the space before
+        if " " in words:  # but not before nothing: a lone space is what it makes of one at a text's end
+            a, end = self.reference(["a", "a "])
+            out[words.index(" ")] = end[len(a) :]
+        return out
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.by_word:
@@ -213,6 +233,7 @@ class Codec:
             ids = [e.ids for e in self._bare.encode_batch_fast([w.replace(" ", META) for w in some], add_special_tokens=False)]
             known.update((w, np.array(i, "<i4").tobytes()) for w, i in zip(some, ids))
             self._astray.update(w for w, b in zip(some, self._bare.decode_batch(ids, skip_special_tokens=False)) if w != b)
+            self._differ.update(w for w, i, r in zip(some, ids, self._by_library(some)) if i != r)
         return [b"".join(map(known.__getitem__, words)) for words in parts]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -248,9 +269,9 @@ ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 def encode(docs: DataFrame, model: str | bytes, *, parity_every: int = 16, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian int32), ids_sha256, round_trip, parity of every row's whole text.
 
-    ``model`` is the file's path on the driver or its bytes (broadcast; a model file has a fixed size). A row
-    whose id's hash is divisible by ``parity_every`` is also encoded by the SentencePiece library and
-    ``parity`` says whether the ids agree; for other rows it is null. 1 verifies every row.
+    ``model`` is the file's path on the driver or its bytes (broadcast; a model file has a fixed size).
+    ``parity`` says whether a row's ids are those of the SentencePiece library, and is never null. Rows whose id's
+    hash is divisible by ``parity_every`` are encoded and decoded as a whole for that, too, where words are apart.
     """
     if isinstance(model, str):
         with open(model, "rb") as f:
@@ -264,12 +285,12 @@ def encode(docs: DataFrame, model: str | bytes, *, parity_every: int = 16, with_
             texts = [t or "" for t in batch.column("text").to_pylist()]
             packed = codec.packed(texts)
             ok = codec.round_trips(texts, packed)
-            probe = [i for i, c in enumerate(batch.column("check").to_pylist()) if c]
-            parity: list[bool | None] = [None] * len(texts)
+            parity = codec.parities(texts, packed)
+            probe = [i for i, c in enumerate(batch.column("check").to_pylist()) if c] if codec.by_word else []
             if probe:
                 some = [texts[i] for i in probe]
                 for i, t, r, b in zip(probe, some, codec.reference(some), codec.decode([unpacked(packed[i]) for i in probe])):
-                    parity[i] = unpacked(packed[i]) == r
+                    parity[i] = parity[i] and unpacked(packed[i]) == r
                     ok[i] = ok[i] and b == codec.normalised(t)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed if with_ids else [None] * len(packed), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array(ok, pa.bool_()), pa.array(parity, pa.bool_())],

@@ -179,6 +179,18 @@ def test_ids_are_those_of_the_library_and_decode(spark, docs_of):
     assert sentencepiece_bridge.encode(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_every_row_has_a_parity_that_tells(spark, docs_of, monkeypatch):
+    docs = docs_of([*enumerate(TEXTS), (100, None), (None, "null id")])
+    assert all(r.parity is True and r.round_trip for r in sentencepiece_bridge.encode(docs, TOKENIZER).collect())
+    with open(TOKENIZER, "rb") as f:
+        codec = sentencepiece_bridge.Codec(f.read())
+    assert codec.by_word
+    own = codec.reference
+    monkeypatch.setattr(codec, "reference", lambda texts: [[*ids, 0] if t == "fox." else ids for t, ids in zip(texts, own(texts))])
+    texts = ["a quick fox. ran", "a quick fox ran", "", "fox."]
+    assert codec.parities(texts, codec.packed(texts)) == [False, True, True, False] == codec.parities(texts, codec.packed(texts))
+
+
 def field(number, value):
     def varint(n):
         out = b""

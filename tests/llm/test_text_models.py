@@ -175,6 +175,33 @@ def test_toxicity_with_one_class(spark, docs_of):
         assert {r.score for r in toxicity.score(docs, scorer).collect()} == {0.0}
 
 
+def all_readings(token, model):
+    """The best score of the full lattice, path by path, and its readings."""
+    paths = {(toxicity._EDGE, ""): 0.0}  # the whole text before a place, and its reading
+    for c in token:
+        letters = ([(c, toxicity._SAME)] if c.isalpha() else []) + [(x, toxicity._LOOK) for x in toxicity.LEET.get(c, "")]
+        following = {}
+        for (text, out), s in paths.items():
+            offers = [(text + x, out + x, s + cost + model.log(text[-3:], x)) for x, cost in letters]
+            offers += [(text, out, s + toxicity._AGAIN) for x, _ in letters if out and out[-1] == x]
+            if c in toxicity.SEPARATORS or c in toxicity.LEET and not c.isalnum() or not letters:
+                offers.append((text, out, s + toxicity._DROP))
+                if out and c in toxicity.SEPARATORS and text[-1] != " ":
+                    offers.append((" ", out + " ", s + toxicity._BREAK + model.log(text[-3:], " ")))
+            for t, o, v in offers:
+                following[t, o] = max(following.get((t, o), -1e9), v)
+        paths = following
+    ends = [(s + model.log(t[-3:], " "), o.strip()) for (t, o), s in paths.items()]
+    return {o for s, o in ends if s > max(ends)[0] - 1e-9}
+
+
+def test_decoder_finds_the_best_path_of_the_full_lattice():
+    rng = random.Random(4)
+    model = toxicity.CharacterModel(Counter({"".join(rng.choice("aeioubdgklmnst") for _ in range(rng.randrange(3, 9))): rng.randrange(1, 50) for _ in range(400)}))
+    tokens = ["".join(rng.choice("*#%&*#15bdkt.@") for _ in range(6)) for _ in range(60)] + ["b**d#&t", "m**#n", "s**%&k"]
+    assert [t for t in tokens if toxicity.decode(t, model) not in all_readings(t, model)] == []
+
+
 def test_decoder_reads_what_is_hidden():
     model = toxicity.CharacterModel(Counter({"idiot": 5, "the": 50, "moron": 3, "loser": 4, "that": 9}))
     hidden = {"1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "idiooot": "idiot", "l0s3r": "loser", "m*r*n": "moron", "plain": "plain"}

@@ -202,6 +202,14 @@ def test_decoder_finds_the_best_path_of_the_full_lattice():
     assert [t for t in tokens if toxicity.decode(t, model) not in all_readings(t, model)] == []
 
 
+def test_hidden_spellings_are_hits():
+    model = toxicity.CharacterModel(Counter({"idiot": 50, "stupid": 50, "ass": 50, "the": 500, "upon": 90, "that": 90, "is": 200, "it": 200, "so": 90, "hello": 40}))
+    scorer = toxicity.Scorer(model, {"=idiot": 5.0, "^idio": 4.0, "=stupid": 5.0, "^stupi": 4.0, "=ass": 5.0})
+    hidden = ["stuupid", "a$$", "$$tupid", "*diot", "idio*", "idio!", "i d i o t", "i  d  i  o  t", "i . d . i . o . t", "st upid", "stup id", "st up id", '"$$tupid",']
+    assert [t for t in hidden if scorer.evidence(f"so {t} that it")[0] == 0] == []
+    assert [t for t in ["hello!", "so it is the st", "(hello) that!", "i. it, a is", "idio", "as it is", "$5 *the*", "upon id"] if scorer.evidence(t)[0] > 0] == []
+
+
 def test_decoder_reads_what_is_hidden():
     model = toxicity.CharacterModel(Counter({"idiot": 5, "the": 50, "moron": 3, "loser": 4, "that": 9}))
     hidden = {"1d10t": "idiot", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "idiooot": "idiot", "l0s3r": "loser", "m*r*n": "moron", "plain": "plain"}

@@ -255,6 +255,7 @@ def read_all_datasets(spark, sf):
 
 @query(f"SELECT ordinal, i AS i0, CASE WHEN i % 2 = 0 THEN value ELSE -1.0 END AS value FROM {_EVENTS} WHERE i < 40")
 def read_with_fill(spark, sf):
+    """A window read: fill completion of the first 40 cells of each dataset is the feature, not of whole arrays."""
     c = events(spark, sf, fill=-1.0, chunk=[16], written=F.col("i") % 2 == 0)
     shaped = c.layouts.select("ordinal", F.least(F.element_at("shape", 1), F.lit(40)).alias("n"), F.element_at("shape", 1).alias("size"))
     rows = c.chunks["f"].where("c0 <= 2").join(shaped, "ordinal")
@@ -262,15 +263,26 @@ def read_with_fill(spark, sf):
     return hyperslab.complete(cells, shaped, ["i0"], [0], [F.col("n")], F.lit(-1.0))
 
 
-@query(f"SELECT ordinal, i AS i0, CASE WHEN i >= 10 THEN -value ELSE value END AS value FROM {_EVENTS} WHERE i < 30")
-def slab_assembly(spark, sf):
-    """Two overlapping slabs: the first covers all cells, the second those from 10 on, with the sign changed."""
-    rows = _numbered(_read(spark, sf, "events"), "event_type", "event_id").where("i < 30")
+def _slabs(spark: SparkSession, sf: str, chunk: int) -> DataFrame:
+    """All cells of two overlapping slabs over all events: the first covers every cell, the second those from 10 on, with the sign changed."""
+    rows = _numbered(_read(spark, sf, "events"), "event_type", "event_id")
     first = rows.select("event_type", "i", F.lit(0).alias("slab"), "value")
     second = rows.where("i >= 10").select("event_type", "i", F.lit(1).alias("slab"), (-F.col("value")).alias("value"))
-    c = from_dataframe(first.unionByName(second), "event_type", {"value": ArraySpec("value", {"obs": "i"}, "float64", None, [7], None, "slab")})
+    c = from_dataframe(first.unionByName(second), "event_type", {"value": ArraySpec("value", {"obs": "i"}, "float64", None, [chunk], None, "slab")})
     rows = c.chunks["f"].join(c.layouts.select("ordinal", "shape"), "ordinal")
-    return hyperslab.unpack(rows, ["i0"], [F.element_at("shape", 1)], [7])
+    return hyperslab.unpack(rows, ["i0"], [F.element_at("shape", 1)], [chunk])
+
+
+@query(f"SELECT ordinal, i AS i0, CASE WHEN i >= 10 THEN -value ELSE value END AS value FROM {_EVENTS} WHERE i < 30")
+def slab_assembly(spark, sf):
+    """The first 30 cells of each dataset, read from slabs that are assembled over all events."""
+    return _slabs(spark, sf, 7).where("i0 < 30")
+
+
+@query(f"SELECT ordinal, i AS i0, CASE WHEN i >= 10 THEN -value ELSE value END AS value FROM {_EVENTS}")
+def slab_assembly_whole(spark, sf):
+    """All cells of the assembled slabs."""
+    return _slabs(spark, sf, 4096)
 
 
 @query(f"SELECT ordinal, count(DISTINCT (i // 16, j // 24)) AS n FROM {_CELLS} WHERE i BETWEEN 10 AND 35 AND j BETWEEN 20 AND 50 GROUP BY 1")

@@ -6,11 +6,14 @@ item contains. A run of ``window`` words (or a whole item that is shorter) is a
 
 The test items are a stated query set: they are dealt into blocks of at most ``block_words`` words, one
 automaton is built and broadcast for each block, so what is broadcast is bounded whatever the benchmark's
-size, and the documents meet the blocks one after another. Documents are never shuffled.
+size; an item larger than a block is cut into pieces that overlap by a window less one word. With one block
+the documents are read once and not shuffled. With several, every document gets a number, each block reads them
+again and writes the numbers, spans and items of those it hits, and these meet the documents in one merge join.
 
 Defined cases: a null or empty text has no words and is clean; an item without words matches nothing;
-items with a null id are ignored; rows of one item id count as one item; equal items with different ids
-are all reported; extra columns of the inputs are ignored by ``match`` and kept by ``decontaminate``.
+rows of one item id count as one item; rows with a null item id are one item without an id: their windows hit
+and count, but add nothing to the ids; equal items with different ids are all reported; extra columns of the
+inputs, whatever their names, are ignored by ``match`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, modest_batches, text_of, tidy
+from .common import materialize, modest_batches, text_of, tidy, unused
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 65 <= b <= 90 or b in _WORD else 32 for b in range(256))
 _WORD_SPAN = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_NAMELESS = ""  # in place of a null item id; ids are kept behind a "=" meanwhile
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of lower-cased text: runs of digits, letters and whatever is beyond ASCII."""
@@ -162,47 +168,93 @@ def _unpack(data: bytes | None) -> list[tuple[int, int]]:
     return list(zip(x[::2], x[1::2]))
 
 
-def _pass(blocks, names: list[str]):
+def _scanned(automaton: SuffixAutomaton, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    spans, items = [], []
+    for text in texts:
+        own, whose = automaton.scan(words_of(text.as_py()))
+        spans.append(_pack(own))
+        items.append(sorted(whose))
+    return pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))
+
+
+def _pass(block, at: int):
+    """Batches with their spans and items as two more columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_scanned(block.value, batch.column(at))], names=[*batch.schema.names, *unused(batch.schema.names, "__spans", "__items")])
+        tidy()
+
+    return run
+
+
+def _hits(block):
+    """Numbers, spans and items of the documents that a block hits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = blocks.value
         for batch in batches:
-            at = names.index("text")
-            spans, items = [], []
-            for text, old, had in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1)):
-                new, whose = automaton.scan(words_of(text.as_py()))
-                before, known = _unpack(old.as_py()), had.as_py() or []
-                spans.append(_pack(union_spans(before + new) if before else new))
-                items.append(sorted({*known, *whose}))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*names, "__spans", "__items"])
+            spans, items = _scanned(block.value, batch.column("text"))
+            hit = pa.RecordBatch.from_arrays([batch.column("number"), spans, items], names=["number", "spans", "items"])
+            yield hit.filter(pa.array([x > 0 for x in map(len, items.to_pylist())], pa.bool_()))
         tidy()
 
     return run
 
 
+def _together(at: int):
+    """Of a document's spans and items by block, the union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_pack(union_spans([s for part in found or [] for s in _unpack(part)])) for found in batch.column(at).to_pylist()]
+            items = [sorted({i for part in found or [] for i in part}) for found in batch.column(at + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names[: at + 2])
+
+    return run
+
+
+def _pieces(benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """item and text of the benchmark's items, long ones in overlapping pieces, dealt into ``block``, and the number of blocks."""
+    rows = benchmark.select(F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit(_NAMELESS)).alias("item"), F.split(text_of("text"), _BETWEEN).alias("w"))
+    total = rows.agg(F.sum(F.size("w"))).first()[0] or 0
+    n, step = max(1, -(-total // block_words)), max(1, block_words - window + 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+    cut = rows.select("item", F.posexplode(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, step + window - 1)))).alias("at", "text"))
+    return cut.withColumn("block", F.pmod(F.xxhash64("item", "at"), F.lit(n))), n
+
+
 def match(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000) -> DataFrame:
-    """doc_id, text, spans (packed pairs of word positions) and items (sorted ids) of every document."""
+    """doc_id, text, spans (packed pairs of word positions) and items (sorted ids behind a ``=``) of every document."""
     return _match(docs.select("doc_id", "text"), benchmark, window, block_words)
 
 
 def _match(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, then=None, then_schema=None) -> DataFrame:
-    """``then`` (of ``then_schema``) takes the last block's batches in the same worker."""
+    """``docs`` with spans and items; ``then`` (of ``then_schema``) takes the batches of these in the same worker."""
     spark = docs.sparkSession
     modest_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of("text").alias("text")).where("item_id IS NOT NULL")
-    total = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    n = max(1, -(-total // block_words))
+    pieces, n = _pieces(benchmark, window, block_words)
+
+    def block(k: int):
+        rows = pieces.where(F.col("block") == k).select("item", "text").distinct().collect()
+        return spark.sparkContext.broadcast(SuffixAutomaton([(r[0], words_of(r[1])) for r in rows], window))
+
     names = docs.columns
-    out = docs.select("*", F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    schema = out.schema
+    spans, items, number = unused(names, "__spans", "__items", "__number")
+    schema = docs.select("*", F.lit(None).cast("binary").alias(spans), F.lit(None).cast("array<string>").alias(items)).schema
+    if n == 1:
+        step = _pass(block(0), names.index("text"))
+        return docs.mapInArrow(_chain(step, then) if then else step, then_schema if then else schema)
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "decontam-numbered")
+    found: DataFrame | None = None
     for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().collect()
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton([(r[0], words_of(r[1])) for r in block], window))
-        if k:
-            out = materialize(out, "decontam")
-        step = _pass(automaton, names)
-        last = k == n - 1 and then is not None
-        out = out.mapInArrow(_chain(step, then) if last else step, then_schema if last else schema)
-    return out
+        automaton = block(k)
+        hits = materialize(numbered.select(F.col(number).alias("number"), "text").mapInArrow(_hits(automaton), "number long, spans binary, items array<string>"), "decontam-hits")
+        automaton.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy(F.col("number").alias(number)).agg(F.collect_list("spans").alias(spans), F.collect_list("items").alias(items))  # at most one of each a block
+    met = numbered.join(found.hint("merge"), number, "left").select(*(F.col(f"`{c}`") for c in (*names, spans, items)))
+    step = _together(len(names))
+    return met.mapInArrow(_chain(step, then) if then else step, then_schema if then else schema)
 
 
 def _chain(first, second):
@@ -217,7 +269,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_hit.append(sum(b - a for a, b in _unpack(spans.as_py())))
             ids = items.as_py() or []
             n_items.append(len(ids))
-            sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+            sha.append(hashlib.sha256(",".join(sorted(x[1:] for x in ids if x != _NAMELESS)).encode()).hexdigest())
             coverage.append(n_hit[-1] / n_words[-1] if n_words[-1] else 0.0)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(coverage, pa.float64())],

@@ -11,11 +11,14 @@ ROWS = [(1, "a"), (2, "a"), (3, "b"), (3, "b"), (None, "a"), (5, None), (6, ""),
 
 
 def brute(rows):
-    out = []
+    out, stays = [], set()
     for i, t in rows:
         group = [j for j, u in rows if (u or "") == (t or "")]
         keep = max((j for j in group if j is not None), default=None)
-        out.append((i, keep, len(group), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+        kept = i == keep and (t or "") not in stays
+        if kept:
+            stays.add(t or "")
+        out.append((i, keep, len(group), kept, hashlib.sha256((t or "").encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -33,13 +36,23 @@ def test_exact_groups_do_not_depend_on_the_hash(docs_of):
 
     rows = [(1, "ab"), (2, "cd"), (3, "ab"), (4, "ef"), (5, "cd"), (6, "cd"), (7, "zz"), (8, "longer")]
     assert result(exact_dedup.groups(docs_of(rows), digests=weak)) == brute(rows)
+    assert result(exact_dedup.groups(docs_of([*rows, (3, "ab"), (3, "zz"), (None, "cd")]), digests=weak)) == brute([*rows, (3, "ab"), (3, "zz"), (None, "cd")])
+
+
+@pytest.mark.parametrize("parallel_bytes", [4, 5000])
+def test_exact_groups_of_texts_hashed_in_parallel(docs_of, parallel_bytes):
+    rows = [*ROWS, (20, LONG[:-1]), (None, LONG), (21, "é" * 40), (22, "é" * 40), (9, LONG + "x")]
+    assert result(exact_dedup.groups(docs_of(rows), parallel_bytes=parallel_bytes)) == brute(rows)
 
 
 def test_exact_deduplicate_keeps_columns_and_largest(docs_of):
     docs = docs_of(ROWS)
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 3, 3, 6, 8, 9], key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 3, 6, 8, 9], key=repr)
+    odd = docs.withColumn("__key", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("data", F.lit(3))
+    assert exact_dedup.deduplicate(odd).columns == odd.columns and exact_dedup.deduplicate(odd).count() == 5
+    assert sorted((r.doc_id for r in exact_dedup.deduplicate(docs_of([(None, "q"), (None, "q"), (1, "r"), (1, None), (1, "")])).collect()), key=repr) == [1, 1, None]
     assert exact_dedup.deduplicate(docs.limit(0)).count() == 0
 
 

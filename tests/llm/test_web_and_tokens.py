@@ -4,6 +4,7 @@ import html.parser
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ndcollect.llm import decontam, sentencepiece_bridge, url_filter, warc
 from ndcollect.llm.queries import RULES, TOKENIZER
@@ -87,13 +88,14 @@ def test_reading_plain_and_broken_files():
 
 
 def test_url_parts_and_rules(spark):
-    urls = {1: "HTTP://WWW.Example.COM/En/x?q", 2: "http://example.com/en/", 3: "http://a.example.com", 4: "https://x.net/fr/1#f", 5: None, 6: "no scheme", 7: "http://h.net/es?x=://y/", 8: "http://com/", 9: "http://notexample.com/en/a", 10: "http://É.org/a"}
+    urls = {1: "HTTP://WWW.Example.COM/En/x?q", 2: "http://example.com/en/", 3: "http://a.example.com", 4: "https://x.net/fr/1#f", 5: None, 6: "no scheme", 7: "http://h.net/es?x=://y/", 8: "http://com/", 9: "http://notexample.com/en/a", 10: "http://É.org/a", 11: "http://www.example.com/en/x", 12: "http://www.example.com/de/x", 13: "http://a.www.example.com/en/"}
     pages = spark.createDataFrame([(i, u, "x", "v") for i, u in urls.items()], "page_id long, url string, html string, verdict string")
     none = spark.createDataFrame([], "page_id long, bad int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, none, RULES).collect()}
     assert got == {
-        1: ("www.example.com", "/En/x", "www.example.com/", "allow"), 2: ("example.com", "/en/", "example.com/en/", "block"), 3: ("a.example.com", "", None, "allow"), 4: ("x.net", "/fr/1", "net/fr/", "block"), 5: ("", "", None, "allow"),
+        1: ("www.example.com", "/En/x", "com/", "allow"), 2: ("example.com", "/en/", "example.com/en/", "block"), 3: ("a.example.com", "", None, "allow"), 4: ("x.net", "/fr/1", "net/fr/", "block"), 5: ("", "", None, "allow"),
         6: ("", "", None, "allow"), 7: ("h.net", "/es", None, "allow"), 8: ("com", "/", "com/", "allow"), 9: ("notexample.com", "/en/a", "com/", "allow"), 10: ("É.org", "/a", None, "allow"),
+        11: ("www.example.com", "/en/x", "www.example.com/en/", "allow"), 12: ("www.example.com", "/de/x", "com/", "allow"), 13: ("a.www.example.com", "/en/", "www.example.com/en/", "allow"),
     }
     assert url_filter.judge(pages.limit(0), none, RULES).count() == 0
 
@@ -128,16 +130,19 @@ def test_hosts_without_outcomes_are_judged_by_their_domain(spark):
 def brute_hits(docs, items, window=10):
     out = []
     for i, t in docs:
-        w, hit, whose = decontam.words_of(t), set(), set()
+        w, hit, whose, nameless = decontam.words_of(t), set(), set(), 0
         for item, text in items:
             x = decontam.words_of(text)
             m = min(window, len(x))
-            wins = {tuple(x[k : k + m]) for k in range(len(x) - m + 1)} if m and item is not None else set()
+            wins = {tuple(x[k : k + m]) for k in range(len(x) - m + 1)} if m else set()
             for k in range(len(w) - m + 1 if m else 0):
                 if tuple(w[k : k + m]) in wins:
                     hit |= set(range(k, k + m))
-                    whose.add(str(item))
-        out.append((i, len(w), len(hit), len(whose), hashlib.sha256(",".join(sorted(whose)).encode()).hexdigest(), bool(hit)))
+                    if item is None:
+                        nameless = 1
+                    else:
+                        whose.add(str(item))
+        out.append((i, len(w), len(hit), len(whose) + nameless, hashlib.sha256(",".join(sorted(whose)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
@@ -149,9 +154,9 @@ def bench(spark, items):
 def test_decontamination_against_brute_force(spark, docs_of, block_words):
     rng = random.Random(7)
     make = lambda n, k=6: " ".join(rng.choice("abcdefgh"[:k]) + rng.choice("xyZ") for _ in range(n))
-    items = [(i, make(rng.randrange(8, 40))) for i in range(25)] + [(30, "ax by"), (31, None), (32, "..."), (33, "ax by"), (None, "ax ax"), (2, make(15)), (34, "Ünï-code; Ünï 12")]
+    items = [(i, make(rng.randrange(8, 40))) for i in range(25)] + [(30, "ax by"), (31, None), (32, "..."), (33, "ax by"), (None, "ax ax"), (None, make(12)), (40, make(400)), (2, make(15)), (34, "Ünï-code; Ünï 12")]
     docs = [(i, make(rng.randrange(0, 120), 8) + " " + (items[rng.randrange(25)][1] if i % 3 == 0 else "")) for i in range(40)]
-    docs += [(100, None), (101, ""), (102, "AX, by!"), (103, make(30_000)), (None, items[3][1]), docs[0], (104, "ünï code ÜNÏ 12"), (105, "Ünï code Ünï 12")]
+    docs += [(100, None), (101, ""), (102, "AX, by!"), (103, make(30_000)), (None, items[3][1]), (106, "q " + items[-3][1][30:300]), (107, "ax ax"), docs[0], (104, "ünï code ÜNÏ 12"), (105, "Ünï code Ünï 12")]
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(docs_of(docs), bench(spark, items), block_words=block_words).collect()), key=repr)
     assert got == brute_hits(docs, items)
 
@@ -163,6 +168,10 @@ def test_decontaminated_texts(spark, docs_of):
     rows = {r.doc_id: r for r in decontam.decontaminate(docs, bench(spark, [(1, item)])).collect()}
     assert set(rows) == {1, 3, 4} and rows[3].text == clean and rows[4].text is None and rows[3].n_chars == len(clean)
     assert rows[1].text == clean + "! The end of a text with enough other words that it may stay here, " + clean and rows[1].n_chars == len(rows[1].text) and rows[1].kept == "x"
+    odd = docs.withColumn("__spans", F.lit(1)).withColumn("__Items", F.lit("x"))
+    for words in (200_000, 15):
+        got = decontam.decontaminate(odd, bench(spark, [(1, item)]), block_words=words)
+        assert got.columns == odd.columns and {r.doc_id: r.text for r in got.collect()} == {i: r.text for i, r in rows.items()}
     assert decontam.decontaminate(docs, bench(spark, [])).count() == 4 and decontam.report(docs.limit(0), bench(spark, [(1, item)])).count() == 0
 
 

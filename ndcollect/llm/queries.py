@@ -55,7 +55,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("restored_hits").alias("n_hits"))
 
 
-RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/"), ("block", "net/es/"), ("block", "net/fr/")]
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +124,12 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, count(*) AS n, sum(bad) AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM p JOIN o USING (page_id) GROUP BY host),
-hh AS (SELECT host, n, bad, CASE WHEN len(l) < 2 THEN host ELSE array_to_string(l[-2:], '.') END AS domain,
-              CASE WHEN len(l) < 2 THEN '' ELSE l[-1] END AS suffix FROM h),
+names AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM (SELECT DISTINCT host FROM p)),
+sized AS (SELECT *, len(l) < 2 OR regexp_matches(name, '^[0-9.]+$') OR contains(name, '[') AS whole,
+                 CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'com.mx', 'co.in') THEN 2 ELSE 1 END AS k FROM names),
+parts AS (SELECT host, CASE WHEN whole THEN name ELSE array_to_string(l[greatest(len(l) - k, 1) : len(l)], '.') END AS domain,
+                 CASE WHEN whole THEN '' ELSE array_to_string(l[len(l) - k + 1 : len(l)], '.') END AS suffix FROM sized),
+hh AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad) AS bad FROM p JOIN o USING (page_id) JOIN parts USING (host) GROUP BY host),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hh GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m FROM s),
@@ -136,9 +139,15 @@ dk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m)
 hj AS (SELECT hh.*, (dk.k * dj.m + dj.bad - hh.bad) / (dk.k + dj.n - hh.n) AS m FROM hh JOIN dj USING (suffix, domain), dk),
 hk AS (SELECT 1 / least(greatest((sum(pow(bad - n * m, 2) / n) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)), 1e-4), 0.5) - 1 AS k FROM hj),
 hm AS (SELECT host, (k * m + bad) / (k + n) AS m, k + n AS w FROM hj, hk),
-b AS (SELECT host FROM hm WHERE m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.25),
+dm AS (SELECT suffix, domain, (dk.k * dj.m + bad) / (dk.k + n) AS dmean FROM dj, dk),
+sm AS (SELECT suffix, (sk.k * g.m + bad) / (sk.k + n) AS smean FROM s, g, sk),
+q AS (SELECT host, dmean, smean, coalesce(dmean, smean, g.m) AS m,
+             hk.k / (hk.k + 1) * CASE WHEN dmean IS NULL THEN dk.k / (dk.k + 1) ELSE 1 END * CASE WHEN coalesce(dmean, smean) IS NULL THEN sk.k / (sk.k + 1) ELSE 1 END AS within
+      FROM parts LEFT JOIN dm USING (suffix, domain) LEFT JOIN sm USING (suffix), g, hk, dk, sk WHERE host NOT IN (SELECT host FROM hh)),
+b AS (SELECT host FROM hm WHERE m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.25
+      UNION ALL SELECT host FROM q WHERE m - 1.645 * sqrt(m * (1 - m) * (1 - within)) > 0.25),
 r AS (SELECT page_id, max_by(rule, len(rule)) AS rule, max_by(what, len(rule)) AS what
-      FROM p JOIN (VALUES ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'), ('allow', 'www.example.com', '/', 'www.example.com/'),
+      FROM p JOIN (VALUES ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'), ('allow', 'www.example.com', '/en/', 'www.example.com/en/'),
                           ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')) v(what, name, start, rule)
       ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.what, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict,

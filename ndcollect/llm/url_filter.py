@@ -14,6 +14,9 @@ Outcomes are summed by host before anything meets (one row a host, however many
 strengths are single numbers, hosts without outcomes are made distinct before they meet their domains and
 suffixes, and the pages meet the table of blocked hosts in one merge join that AQE can split.
 
+Public suffixes are an input: ``suffixes`` takes any number of rules of the public suffix list (plain, ``*.x`` and
+``!a.x``; ``suffix_rules`` reads the list's file form); the last label is a suffix where no rule fits.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged
 like an unknown host; hosts that are addresses or have no dot are their own domain; outcomes of unknown pages
 are ignored, a page with several outcomes is bad if any is; without outcomes everything that no rule blocks
@@ -22,13 +25,15 @@ is allowed; extra columns are ignored by ``judge``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of more than one label. Fixed values; pass others where more are needed.
+#: Suffixes of more than one label that count where no list is given. Fixed values.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.za", "com.mx", "co.in")
 
 
@@ -40,17 +45,30 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host without its port."""
+def suffix_rules(text: str) -> tuple[str, ...]:
+    """The rules of a public suffix list: a rule a line, up to white space; lines that begin with // are remarks."""
+    lines = (line.split() for line in text.splitlines() if not line.startswith("//"))
+    return tuple(words[0].lower() for words in lines if words)
+
+
+def domain_and_suffix(host: Column, suffixes: Iterable[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host without its port. The longest rule that fits counts."""
+    plain = {s for s in suffixes if s[:1] not in ("*", "!")}
+    below = {s[2:] for s in suffixes if s.startswith("*.")}
+    but = {s[1:] for s in suffixes if s.startswith("!")}
     name = F.regexp_replace(host, r":\d*$", "")
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    two, three = F.concat_ws(".", F.slice(labels, -2, 2)), F.concat_ws(".", F.slice(labels, -3, 3))
+    last = lambda k: F.concat_ws(".", F.slice(labels, -k, k))
     whole = (n < 2) | name.rlike(r"^[0-9.]+$") | name.contains("[")
-    long = two.isin(*suffixes) if suffixes else F.lit(False)
-    suffix = F.when(whole, F.lit("")).when(long, two).otherwise(F.element_at(labels, -1))
-    domain = F.when(whole, name).when(long, F.when(n >= 3, three).otherwise(name)).otherwise(two)
-    return domain, suffix
+    found = F.lit(1)
+    for k in range(1, 2 + max((s.count(".") for s in (*plain, *("." + b for b in below))), default=0)):
+        fits = last(k).isin(*plain) if plain else F.lit(False)
+        if below and k > 1:
+            fits = fits | last(k - 1).isin(*below) & ~(last(k).isin(*but) if but else F.lit(False))
+        found = F.when((n >= k) & fits, F.lit(k)).otherwise(found)
+    part = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    return F.when(whole, name).otherwise(part(F.least(found + 1, n))), F.when(whole, F.lit("")).otherwise(part(found))
 
 
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -76,20 +94,20 @@ def _strength(groups: DataFrame, parent: Column) -> float:
     return 1 / within - 1
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645) -> tuple[DataFrame, dict[str, DataFrame], float]:
+def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645, suffixes: Iterable[str] = SUFFIXES) -> tuple[DataFrame, dict[str, DataFrame], float]:
     """Posterior lower bounds of the bad rate by host, domain and suffix, and overall.
 
     ``pages`` has page_id and url, ``outcomes`` page_id and bad (0 or 1).
     """
     host, _ = host_and_path(F.col("url"))
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     named = pages.select("page_id", host.alias("host"))
     seen = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     counts = named.join(seen.hint("merge"), "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     hosts = materialize(counts.withColumn("domain", domain).withColumn("suffix", suffix), "url-hosts")
     domains = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-domains")
-    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-suffixes")
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    ends = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-suffixes")
+    total = ends.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total.bad or 0) + 0.5) / ((total.n or 0) + 1)
 
     def shrink(level: DataFrame, parent: Column) -> DataFrame:
@@ -106,19 +124,19 @@ def reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645) -> tu
         return level.join(up.hint("merge"), keys).withColumn("up", mean), F.col("up")
 
     keep = ("n", "bad", "k", "prior", "mean", "low")
-    suffixes = materialize(shrink(suffixes, F.lit(overall)).select("suffix", *keep), "url-suffixes")
-    domains = materialize(shrink(*below(domains, suffixes, ["suffix"])).select("suffix", "domain", *keep), "url-domains")
+    ends = materialize(shrink(ends, F.lit(overall)).select("suffix", *keep), "url-suffixes")
+    domains = materialize(shrink(*below(domains, ends, ["suffix"])).select("suffix", "domain", *keep), "url-domains")
     hosts = materialize(shrink(*below(hosts, domains, ["suffix", "domain"])).select("host", *keep), "url-hosts")
-    return hosts, {"domain": domains, "suffix": suffixes}, overall
+    return hosts, {"domain": domains, "suffix": ends}, overall
 
 
-def unseen(pages: DataFrame, hosts: DataFrame, levels: dict[str, DataFrame], overall: float, *, z: float = 1.645) -> DataFrame:
+def unseen(pages: DataFrame, hosts: DataFrame, levels: dict[str, DataFrame], overall: float, *, z: float = 1.645, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """host, mean and low of the hosts of ``pages`` (with a column host) that ``hosts`` lacks, by what ``reputation`` gave."""
     found = [level.select("k").first() for level in (hosts, levels["domain"], levels["suffix"])]
     if None in found:
         return pages.sparkSession.createDataFrame([], "host string, mean double, low double")
     of_host, of_domain, of_suffix = (r.k / (r.k + 1) for r in found)  # what is left of a unit's variance within it
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     met = materialize(pages.select("host").distinct(), "url-met")  # else the join would be pushed below, to all pages
     new = met.join(hosts.select("host").hint("merge"), "host", "left_anti")
     new = new.withColumn("domain", domain).withColumn("suffix", suffix)
@@ -129,13 +147,13 @@ def unseen(pages: DataFrame, hosts: DataFrame, levels: dict[str, DataFrame], ove
     return new.select("host", mean.alias("mean"), (mean - F.lit(z) * F.sqrt(mean * (1 - mean) * (1 - within))).alias("low"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *, limit: float = 0.25, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *, limit: float = 0.25, z: float = 1.645, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's own verdict ``reputation`` of every page."""
-    hosts, levels, overall = reputation(pages, outcomes, z=z)
+    hosts, levels, overall = reputation(pages, outcomes, z=z, suffixes=suffixes)
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
-    known = hosts.select("host", "low").unionByName(unseen(parsed, hosts, levels, overall, z=z).select("host", "low"))
+    known = hosts.select("host", "low").unionByName(unseen(parsed, hosts, levels, overall, z=z, suffixes=suffixes).select("host", "low"))
     bad = known.where(F.col("low") > limit).select("host", F.lit(True).alias("bad_host"))
     met = parsed.join(materialize(bad, "url-blocked").hint("merge"), "host", "left")
     own = F.when(F.col("bad_host"), F.lit("block")).otherwise(F.lit("allow"))

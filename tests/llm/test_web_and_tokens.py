@@ -127,6 +127,39 @@ def test_hosts_without_outcomes_are_judged_by_their_domain(spark):
     assert len(rows) == len(pages) and {h for h, v in got.items() if v == "block"} == {"a.bad.org", "b.bad.org", "new.bad.org", "deep.new.bad.org:8080", "bad.org"}
 
 
+def test_query_and_sql_agree_on_hosts_without_outcomes(spark, tmp_path):
+    import duckdb
+
+    from ndcollect.llm import queries
+
+    rng = random.Random(5)
+    pages, labels = [], []
+    for h, n, p in (("a.bad.org", 90, 0.95), ("b.bad.org", 70, 0.9), ("a.good.org", 80, 0.02), ("b.good.org", 60, 0.05), ("x.y.co.uk", 40, 0.3), ("10.0.0.1", 9, 0.9), ("q.z.co.uk:80", 30, 0.8)):
+        for _ in range(n):
+            labels.append((len(pages), int(rng.random() >= p), 0))
+            pages.append((len(pages), f"http://{h}/p"))
+    for h in ("new.bad.org", "bad.org:8080", "c.good.org", "w.y.co.uk", "k.co.uk", "co.uk", "10.0.0.2", "localhost", "new.other.xyz", "x" * 100_000, "a..b", "www.example.com/en", "www.example.com/en/q"):
+        pages += [(len(pages) + k, f"http://{h}/{k}") for k in range(2)]
+    pages += [(9000, None), (9001, "no scheme"), (9002, "http://a.bad.org/" + "y" * 100_000)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries.op9_url_filter(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op9_url_filter']})").fetchall()
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows == sorted(want, key=repr) and {h for _, h, *_, r in rows if r == "block"} >= {"new.bad.org", "bad.org:8080", "a.bad.org"}
+
+
+def test_public_suffix_lists(spark):
+    rules = url_filter.suffix_rules("// remarks\ncom\nuk\nco.uk\n\n*.ck\n!www.ck\nk12.ca.us  x\n")
+    hosts = {"a.b.com": ("b.com", "com"), "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.z.ck": ("y.z.ck", "z.ck"), "a.www.ck": ("www.ck", "ck"), "s.k12.ca.us:80": ("s.k12.ca.us", "k12.ca.us"), "a.b.org": ("b.org", "org"), "1.2.3.4": ("1.2.3.4", ""), "": ("", "")}
+    domain, suffix = url_filter.domain_and_suffix(F.col("host"), rules)
+    got = {r.host: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == hosts
+
+
 def brute_hits(docs, items, window=10):
     out = []
     for i, t in docs:

@@ -1,17 +1,21 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries, in DataFrame functions only.
+"""Removal of repeated multi-line passages by content-defined chunks of lines, in DataFrame functions only.
 
 A text's lines are hashed; a polynomial rolling hash over each window of ``WINDOW`` line hashes decides whether
-a chunk ends there (one place in ``DIVISOR``). A boundary depends on the lines around it alone, so the chunks
-of a passage are the same wherever it stands. Chunks of two lines or more, not all blank, that occur more
-than once in the whole table are removed but for their first occurrence (smallest doc_id, then place).
-
-Chunks first meet by a 64-bit hash with map-side partial counts; only those whose hash repeats move their
-bytes, and they count as equal where hash and bytes are equal. Every meeting is an aggregate with partial
-sums or a merge join on written tables, so a chunk that a third of all documents has is split by AQE.
+a chunk ends there (all but one place in ``DIVISOR``). A boundary depends on the lines around it alone, so the
+chunks inside a passage are the same wherever it stands. A chunk that the table has more than once is compared
+byte by byte with its first occurrence (smallest doc_id, then place), and the match is extended line by line into
+both neighbouring chunks, whose far ends differ where the passage begins or ends amid them. Matches of two lines
+or more, not all blank, are removed. A line goes only where an earlier line is the same, so of every line that
+goes one copy stays.
+
+Chunks first meet by two 64-bit hashes, with map-side partial counts and places but without their text. Only
+chunks that repeat, and their neighbours, then move bytes. Every meeting is an aggregate with partial sums or a
+merge join on written tables, so a chunk that a third of all documents has is split by AQE. Two different chunks
+that agree in both hashes (expected once in 2**128 pairs) are told apart by their bytes and stay.
 
 Defined cases: a null text is empty: one empty line, nothing removed; rows that repeat id and text are one
-document, their chunks are all first occurrences or none; a null id ranks first; a text whose every chunk is
-removed becomes empty; extra columns are ignored by ``deduplicated``.
+document, all their rows lose the same lines; a null id ranks first; a text whose every line is removed becomes
+empty; extra columns are ignored by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 from .common import materialize, release, text_of
 
 WINDOW = 2
-DIVISOR = 3
+DIVISOR = 4
 BASE = 1_000_003
 MODULUS = (1 << 31) - 1
+_DOC, _HASH = ("doc_id", "text_key"), ["h", "g"]
 
 
 def line_hash(line: Column) -> Column:
@@ -46,48 +51,73 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.split(text, "\n", -1).alias("lines"))
     rows = rows.select("*", F.transform("lines", line_hash).alias("hashes"))
     last = F.size("lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (_rolling(F.col("hashes"), i) % DIVISOR == 0))
-    return rows.select("doc_id", "text_key", "lines", ends.alias("ends"))
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (_rolling(F.col("hashes"), i) % DIVISOR != 0))
+    return rows.select(*_DOC, "lines", ends.alias("ends"))
+
+
+def _start(place: Column) -> Column:
+    return F.when(place > 0, F.get(F.col("ends"), place - 1) + 1).otherwise(F.lit(0))
+
 
+def _chunk(place: Column) -> Column:
+    """The lines of a chunk; none where there is no such place."""
+    there = (place >= 0) & (place < F.size("ends"))
+    got = F.slice(F.col("lines"), _start(place) + 1, F.get(F.col("ends"), place) - _start(place) + 1)
+    return F.when(there, got).otherwise(F.array().cast("array<string>"))
 
-def _chunks() -> Column:
-    """Array of (place, n, chunk) from lines and ends."""
-    ends, lines = F.col("ends"), F.col("lines")
 
-    def one(end: Column, place: Column) -> Column:
-        start = F.when(place > 0, F.get(ends, place - 1) + 1).otherwise(F.lit(0))
-        n = end - start + 1
-        return F.struct(place.alias("place"), n.alias("n"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("chunk"))
+def _hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")]
 
-    return F.transform(ends, one)
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many elements two arrays agree in, from the start until they differ."""
+    both = F.sequence(F.lit(1), F.least(F.size(a), F.size(b)))
+    n = F.aggregate(both, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(n))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), n).otherwise(F.lit(0))
+
+
+def _on(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A merge join by document, whose id may be null."""
+    there = right.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}).hint("merge")
+    return left.join(there, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), how).drop("__id", "__key")
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and places: the chunks to remove of each document that has any."""
-    chunks = _lines(docs).select("doc_id", "text_key", F.explode(_chunks()).alias("c"))
-    chunks = chunks.select("doc_id", "text_key", "c.place", "c.chunk").where((F.col("c.n") >= 2) & F.col("c.chunk").rlike("[^ \t\n\r]"))
-    chunks = chunks.withColumn("hash", F.xxhash64("chunk"))
-    often = materialize(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "lines-often")
-    met = materialize(chunks.join(often.hint("merge"), "hash"), "lines-met")
+    """doc_id, text_key and ranges (first and last line, from 0) of each document that loses any lines."""
+    place = lambda p: F.struct(p.alias("place"), *_hashes(F.array_join(_chunk(p), "\n")))
+    chunks = _lines(docs).select(*_DOC, F.explode(F.transform(F.sequence(F.lit(0), F.size("ends") - 1), place)).alias("c")).select(*_DOC, "c.*")
+    own = F.struct(*_DOC, "place")
+    often = materialize(chunks.groupBy(*_HASH).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")).where("n > 1").select(*_HASH, "first"), "lines-often")
+    later = materialize(chunks.join(often.hint("merge"), _HASH).where(~own.eqNullSafe(F.col("first"))).select(*_DOC, "place", *_HASH, "first"), "lines-later")
+    release(docs.sparkSession)
+    firsts = later.groupBy(*_HASH).agg(F.first("first").alias("f")).select("f.*")
+    wanted = later.select(*_DOC, "place").unionByName(firsts).groupBy(*_DOC).agg(F.collect_set("place").alias("places"))
+    p = F.col("place")
+    pieces = _on(_lines(docs), wanted, "inner").select("*", F.explode("places").alias("place"))
+    pieces = pieces.select(*_DOC, "place", _start(p).alias("start"), _chunk(p - 1).alias("before"), _chunk(p).alias("chunk"), _chunk(p + 1).alias("after"))
+    pieces = materialize(pieces.select("*", *_hashes(F.array_join("chunk", "\n"))), "lines-pieces")
     release(docs.sparkSession)
-    where = F.struct("doc_id", "text_key", "place")
-    first = materialize(met.groupBy("hash", "chunk").agg(F.min(where).alias("first")), "lines-first")
-    again = met.join(first.hint("merge"), ["hash", "chunk"]).where(~where.eqNullSafe(F.col("first")))
-    out = again.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+    met = pieces.join(often.hint("merge"), _HASH)
+    is_first = own.eqNullSafe(F.col("first"))
+    sides = F.struct("before", "chunk", "after")
+    first = materialize(met.where(is_first).groupBy(*_HASH).agg(F.first(sides).alias("f")), "lines-first")
+    again = met.where(~is_first).join(first.hint("merge"), _HASH).where(F.col("chunk") == F.col("f.chunk"))
+    up, down = _alike(F.reverse("before"), F.reverse(F.col("f.before"))), _alike(F.col("after"), F.col("f.after"))
+    again = again.select(*_DOC, "start", "before", "chunk", "after", up.alias("up"), down.alias("down"))
+    run = F.concat(F.slice(F.col("before"), F.size("before") - F.col("up") + 1, F.col("up")), F.col("chunk"), F.slice(F.col("after"), F.lit(1), F.col("down")))
+    again = again.select(*_DOC, (F.col("start") - F.col("up")).alias("a"), run.alias("run")).where((F.size("run") >= 2) & F.array_join("run", "\n").rlike("[^ \t\n\r]"))
+    out = again.groupBy(*_DOC).agg(F.collect_set(F.struct("a", (F.col("a") + F.size("run") - 1).alias("b"))).alias("ranges"))
     out = materialize(out, "lines-removed")
     release(docs.sparkSession)
     return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, text (cleaned), n_lines, n_chunks, n_removed_chunks, n_removed_lines of every row."""
-    gone = removed(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "places")
-    rows = _lines(docs).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
-    none = F.array().cast("array<int>")
-    rows = rows.select("doc_id", "lines", "ends", F.coalesce("places", none).alias("places"), _chunks().alias("chunks"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), F.col("places"))
-    rows = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("ends").cast("long").alias("n_chunks"), F.size("places").cast("long").alias("n_removed_chunks"), "chunks", stay.alias("stay"))
-    kept = F.transform("stay", lambda j: F.get(F.col("chunks"), j))
-    rows = rows.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", kept.alias("kept"))
-    left = F.aggregate("kept", F.lit(0).cast("long"), lambda a, c: a + c.n)
-    return rows.select("doc_id", F.array_join(F.transform("kept", lambda c: c.chunk), "\n").alias("text"), "n_lines", "n_chunks", "n_removed_chunks", (F.col("n_lines") - left).alias("n_removed_lines"))
+    """doc_id, text (cleaned), n_lines, n_chunks, n_matches and n_removed_lines of every row."""
+    rows = _on(_lines(docs), removed(docs), "left")
+    ranges = F.coalesce("ranges", F.array().cast("array<struct<a:int,b:int>>"))
+    gone = F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r.a, r.b))))
+    rows = rows.select("doc_id", "lines", F.size("ends").cast("long").alias("n_chunks"), F.size(ranges).cast("long").alias("n_matches"), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone).alias("stay"))
+    text = F.array_join(F.transform("stay", lambda i: F.get(F.col("lines"), i)), "\n")
+    return rows.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), "n_chunks", "n_matches", (F.size("lines") - F.size("stay")).cast("long").alias("n_removed_lines"))

@@ -22,7 +22,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_matches", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,16 +107,22 @@ _OP2 = """
 WITH h AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 c AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l)
-             OR (((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 1000003 + h[i]) % 2147483647) % 3 = 0) AS e FROM h),
+             OR (((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 1000003 + h[i]) % 2147483647) % 4 <> 0) AS e FROM h),
 p AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS place FROM c),
-t AS (SELECT doc_id, place, e[place] - (CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) AS n,
-             array_to_string(l[(CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) + 1 : e[place]], chr(10)) AS chunk FROM p),
-f AS (SELECT *, n >= 2 AND regexp_matches(chunk, '[^ \\t\\n\\r]')
-             AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM t)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
-       CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
-FROM f GROUP BY doc_id
+t AS (SELECT doc_id, place, (CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) AS start,
+             l[(CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) + 1 : e[place]] AS chunk FROM p),
+n AS (SELECT *, coalesce(lag(chunk) OVER w, []) AS before, coalesce(lead(chunk) OVER w, []) AS after FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+f AS (SELECT *, row_number() OVER w AS k, first_value(before) OVER w AS fb, first_value(after) OVER w AS fa FROM n WINDOW w AS (PARTITION BY array_to_string(chunk, chr(10)) ORDER BY doc_id, place)),
+m AS (SELECT *, len(list_filter(range(1, least(len(before), len(fb)) + 1), lambda i: before[len(before) - i + 1 : len(before)] = fb[len(fb) - i + 1 : len(fb)])) AS up,
+             len(list_filter(range(1, least(len(after), len(fa)) + 1), lambda i: after[1 : i] = fa[1 : i])) AS down FROM f WHERE k > 1),
+r AS (SELECT doc_id, start - up AS a, start + len(chunk) + down AS b, list_concat(list_concat(before[len(before) - up + 1 : len(before)], chunk), after[1 : down]) AS run FROM m),
+ok AS (SELECT DISTINCT doc_id, a, b FROM r WHERE len(run) >= 2 AND regexp_matches(array_to_string(run, chr(10)), '[^ \\t\\n\\r]')),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM ok),
+matches AS (SELECT doc_id, count(*) AS n FROM ok GROUP BY 1),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS i FROM c)
+SELECT doc_id, count(*) AS n_lines, any_value(CAST(len(c.e) AS BIGINT)) AS n_chunks, any_value(coalesce(matches.n, 0)) AS n_matches, count(gone.i) AS n_removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (gone.i IS NULL), '')) AS text_sha256
+FROM lines JOIN c USING (doc_id) LEFT JOIN matches USING (doc_id) LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
 """
 
 _OP9 = """

@@ -88,10 +88,11 @@ def id_mod(column: str, n: int) -> Column:
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts, end to end, and the n + 1 offsets into them. Null is empty."""
-    array = array.cast(pa.large_string()) if not pa.types.is_large_string(array.type) else array
+    """Bytes of all texts (in UTF-8) or binaries, end to end, and the n + 1 offsets into them. Null is empty."""
+    binary = pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type)
+    array = array.cast(pa.large_binary() if binary else pa.large_string())
     if array.null_count:
-        array = array.fill_null("")
+        array = array.fill_null(b"" if binary else "")
     n = len(array)
     _, offsets, data = array.buffers()
     if n == 0 or data is None:

@@ -79,6 +79,77 @@ def test_derivatives_link_back_and_keep_digests(spark):
     assert warc.derive(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_binary_and_coded_payloads(spark, tmp_path):
+    import zlib
+
+    page = "<html><meta charset=iso-8859-1><title>Stra\xdfe</title><p>\xe9t\xe9</html>"
+    png = bytes(range(256)) * 3
+    head = lambda kind, *more: "\r\n".join(["HTTP/1.1 200 OK", f"Content-Type: {kind}", *more])
+    packed = gzip.compress(page.encode("latin-1"))
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[i : i + 20]), packed[i : i + 20]) for i in range(0, len(packed), 20)) + b"0\r\n\r\n"
+    cases = [
+        (head("image/png"), png, ""), (head("text/html; charset=ISO-8859-1"), page.encode("latin-1"), "Stra\xdfe\n\xe9t\xe9"), (head("text/html"), page.encode("latin-1"), "Stra\xdfe\n\xe9t\xe9"),
+        (head("text/html", "Content-Encoding: gzip", "Transfer-Encoding: chunked"), chunked, "Stra\xdfe\n\xe9t\xe9"), (head("text/plain", "Content-Encoding: deflate"), zlib.compress(b"a\tb"), "a\tb"), (head("text/html", "Content-Encoding: br"), b"\x0b\x02", ""),
+        (head("text/html", "Content-Encoding: gzip"), b"\x1f\x8bbroken", ""), (head("text/html; charset=nonsense"), b"<p>\xff", "\ufffd"), (head("text/html"), b"", ""),
+    ]
+    blocks = [h.encode("latin-1") + b"\r\n\r\n" + p for h, p, _ in cases]
+    fields = [[("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{i}>"), ("WARC-Target-URI", f"http://h/{i}"), ("WARC-Date", "2024-05-06T07:08:09Z"), ("WARC-IP-Address", "10.0.0.1"), ("WARC-Block-Digest", warc.digest(b)), ("WARC-Payload-Digest", warc.digest(c[1]))] for i, (b, c) in enumerate(zip(blocks, cases))]
+    info = warc.write_record(warc.header_block([("WARC-Type", "warcinfo")], 4), b"a: b")
+    for name, compress in (("a.warc.gz", True), ("b.warc", False)):
+        (tmp_path / name).write_bytes((info if compress else b"") + b"".join(warc.write_record(warc.header_block(f, len(b)), b, compress) for f, b in zip(fields, blocks)))
+    rows = warc.responses_of_files(spark, f"{tmp_path}/*")
+    assert sorted((r.record_id, bytes(r.payload)) for r in rows.collect()) == sorted([(f"<urn:uuid:{i}>", c[1]) for i, c in enumerate(cases)] * 2)
+    got = warc.derive(rows.where("record_id IS NOT NULL")).collect()
+    assert len(got) == 4 * len(cases)
+    for i, (h, payload, text) in enumerate(cases):
+        own = [r for r in got if r.refers_to == f"<urn:uuid:{i}>"]
+        meta, conversion = ([r for r in own if r.type == t] for t in ("metadata", "conversion"))
+        assert len(meta) == len(conversion) == 2 and {r.block.decode() for r in conversion} == {text}
+        for r in meta:
+            about = [tuple(x.split(": ", 1)) for x in r.block.decode().split("\r\n") if x]
+            expected = {("source-block-digest", warc.digest(blocks[i])), ("source-payload-digest", warc.digest(payload)), ("source-header-warc-block-digest", warc.digest(blocks[i])), ("source-header-warc-payload-digest", warc.digest(payload)), ("source-header-warc-ip-address", "10.0.0.1"), ("source-header-warc-date", "2024-05-06T07:08:09Z"), ("http-status", "HTTP/1.1 200 OK")}
+            assert expected <= set(about) and {("http-header-" + k.lower(), v) for k, v in (x.split(": ") for x in h.split("\r\n")[1:])} <= set(about)
+        for r in own:
+            assert r.payload_digest == warc.digest(payload) and r.block_digest == warc.digest(r.block)
+            assert dict(x.split(": ", 1) for x in r.headers.split("\r\n")[1:] if x) == {"WARC-Type": r.type, "WARC-Record-ID": r.record_id, "WARC-Refers-To": r.refers_to, "WARC-Target-URI": f"http://h/{i}", "WARC-Date": "2024-05-06T07:08:09Z", "WARC-Refers-To-Target-URI": f"http://h/{i}", "WARC-Refers-To-Date": "2024-05-06T07:08:09Z", "WARC-Block-Digest": r.block_digest, "Content-Type": r.content_type, "Content-Length": str(len(r.block))}
+    with pytest.raises(ValueError):
+        list(warc.read_records(info[:0] + warc.write_record(warc.header_block([("WARC-Type", "response")], 9), b"abc", False)))
+
+
+def test_records_of_pages_against_the_standard_library(spark):
+    import base64
+
+    from ndcollect.llm import queries
+
+    class Links(html.parser.HTMLParser):
+        found: list
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.found += [v.strip() for k, v in attrs if k == "href" and v]
+
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    records = {(r.target_uri, r.payload_digest, r.type): r for r in warc.derive(warc.responses_of_pages(pages)).collect()}
+    listed = {r.record_id: r for r in queries.op1_warc_derivatives(spark, "/root/testdata/sf0.001").collect()}
+    rows = pages.collect()
+    assert len(listed) == 2 * len(rows)
+    for r in rows:
+        body = r.html.encode()
+        meta, text = (records[r.url, sha1(body), t] for t in ("metadata", "conversion"))
+        assert bytes(text.block).decode() == plain(r.html) and meta.refers_to == text.refers_to
+        about = [x.split(": ", 1) for x in bytes(meta.block).decode().split("\r\n") if x]
+        links = Links()
+        links.found = []
+        links.feed(r.html)
+        assert [x[1] for x in about if x[0] == "outlink"] == [" ".join(x.split()) for x in links.found]
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
+        assert ["source-block-digest", sha1(http + body)] in about and ["source-payload-length", str(len(body))] in about
+        for x in (meta, text):
+            own = listed[x.record_id]
+            assert (own.block_bytes, own.block_digest, own.headers_sha256) == (len(x.block), sha1(bytes(x.block)), hashlib.sha256(x.headers.encode()).hexdigest())
+
+
 def test_reading_plain_and_broken_files():
     one = warc.write_record(warc.header_block([("WARC-Type", "response")], 3), b"abc", False)
     assert [b for _, b in warc.read_records(one + one)] == [b"abc"] * 2 == [b for _, b in warc.read_records(gzip.compress(one) + gzip.compress(one))]

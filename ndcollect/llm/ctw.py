@@ -13,10 +13,13 @@ The model grows with the corpus and is never held in one place:
    (DEPTH + 1)-grams and words with their training counts (map-side sums);
 2. counts are summed by gram, dealt by the three latest context bytes, where the trees from depth three on
    are weighed by vectorised recursion;
-3. depths zero to two have at most 65,536 * 255 nodes: they are summed from partial sums and broadcast;
+3. depths zero to two have at most 65,536 * 255 nodes: each is summed on one executor, and they are broadcast;
 4. each block gets back the log probability of just its own grams and words, and scores its documents.
 
-Grams and words travel as packed arrays, one for each block and part: a few bytes an entry.
+Grams and words travel as packed arrays, one for each block and part: a few bytes an entry. There are as many
+parts as blocks, up to ``most_parts``, so rows grow with the input from there on. No task takes more than
+``GROUP`` blocks of one part at a time: counts are summed in rounds, group by group, and answers are given group
+by group, so a part of very frequent contexts is many tasks and what one holds is bounded by its distinct grams.
 
 Defined cases: a null text is empty and has the score of an immediate end; with no training text the model is
 uniform (each bit one half) and the base score divides by one; repeated rows are scored alike; rows with a
@@ -220,9 +223,10 @@ def _word_keys(words: list[bytes]) -> np.ndarray:
 
 
 _END_WORD = b" "
-_GRAM, _WORD, _SUM = 0, 1, 2
+_GRAM, _WORD = 0, 1
 _REQUEST = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 _SPLIT = 4
+GROUP = 256  # blocks of one part that a task takes together
 
 
 def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
@@ -296,20 +300,55 @@ def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+_TOTALS = T.StructType([T.StructField("part", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("tokens", T.LongType()), T.StructField("distinct", T.LongType())])
+
+
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _merge([_unpack_keys(k) for k in rows.column("keys").to_pylist()], [_unpack(c, np.int64) for c in rows.column("counts").to_pylist()])
+
+
+def _merge_group(key, rows):
+    own, n = _merged(rows)
+    return _table([(key[1].as_py(), None, key[0].as_py(), _pack_keys(own), _pack(n))], _REQUEST)
+
+
+def _summed(requests: DataFrame, blocks: int) -> DataFrame:
+    """Keys and counts by part and group of blocks, in rounds until a part has at most ``GROUP`` rows."""
+    while blocks > GROUP:
+        blocks = -(-blocks // GROUP)
+        grouped = requests.withColumn("block", F.floor(F.col("block") / GROUP)).groupBy("part", "block")
+        requests = materialize(grouped.applyInArrow(_merge_group, _REQUEST), "ctw-sums")
+    return requests
+
+
 def _count_words(key, rows):
-    """For each block's words their counts over the whole corpus; under kind ``_SUM`` this part's tokens and distinct words."""
-    keys = [_unpack_keys(k) for k in rows.column("keys").to_pylist()]
-    own, n = _merge(keys, [_unpack(c, np.int64) for c in rows.column("counts").to_pylist()])
-    part = key[0].as_py()
-    out = [(b, _WORD, part, packed, _pack(n[np.searchsorted(own, k)])) for b, packed, k in zip(rows.column("block").to_pylist(), rows.column("keys").to_pylist(), keys)]
-    return _table([*out, (None, _SUM, part, None, np.array([n.sum(), (n > 0).sum()], np.int64).tobytes())], _REQUEST)
+    """A part's words and their counts over the whole corpus."""
+    own, n = _merged(rows)
+    return _table([(key[0].as_py(), _pack_keys(own), _pack(n), int(n.sum()), int((n > 0).sum()))], _TOTALS)
+
+
+def _answer_words(key, totals, requests):
+    out = []
+    if totals.num_rows and requests.num_rows:
+        own, n = _unpack_keys(totals.column("keys")[0].as_py()), _unpack(totals.column("counts")[0].as_py(), np.int64)
+        for b, packed in zip(requests.column("block").to_pylist(), requests.column("keys").to_pylist()):
+            out.append((b, _WORD, key[0].as_py(), packed, _pack(n[np.searchsorted(own, _unpack_keys(packed))])))
+    return _table(out, _REQUEST)
+
+
+def _by_group(model: DataFrame, requests: DataFrame, blocks: int, answer) -> DataFrame:
+    """Answers to requests, a task for each part and group of blocks; the part's model meets each group."""
+    groups = -(-blocks // GROUP)
+    each = model.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    asked = requests.withColumn("group", F.floor(F.col("block") / GROUP))
+    return each.groupBy("part", "group").cogroup(asked.groupBy("part", "group")).applyInArrow(answer, _REQUEST)
 
 
 _TREES = T.StructType([T.StructField("part", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("mixed", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("logw", T.BinaryType()), T.StructField("n0", T.BinaryType()), T.StructField("n1", T.BinaryType())])
 
 
 def _weigh_part(key, rows):
-    own, n = _merge([_unpack_keys(k) for k in rows.column("keys").to_pylist()], [_unpack(c, np.int64) for c in rows.column("counts").to_pylist()])
+    own, n = _merged(rows)
     p, up = weigh(own, n, stop=STOP)
     node, to = np.unique(up["node"].astype(np.int64), return_inverse=True)
     sums = [np.bincount(to, up[x], len(node)) for x in ("logw", "n0", "n1")]
@@ -319,7 +358,7 @@ def _weigh_part(key, rows):
 def _answer(roots):
     def run(key, trees, requests):
         out = []
-        if trees.num_rows:
+        if trees.num_rows and requests.num_rows:
             own = _unpack_keys(trees.column("keys")[0].as_py())
             log = roots.value.log10(own, _unpack(trees.column("mixed")[0].as_py(), np.float32).reshape(-1, 8)).astype(np.float32)
             for b, packed in zip(requests.column("block").to_pylist(), requests.column("keys").to_pylist()):
@@ -378,27 +417,35 @@ def score(docs: DataFrame, learn: Column, *, block_bytes: int = 12 << 20, most_p
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     requests = materialize(dealt.groupBy("block").applyInArrow(_request(parts), _REQUEST), "ctw-requests")
     release(spark)
-    words = materialize(requests.where(F.col("kind") == _WORD).groupBy("part").applyInArrow(_count_words, _REQUEST), "ctw-words")
-    sums = [np.frombuffer(r[0], np.int64) for r in words.where(F.col("kind") == _SUM).select("counts").collect()]
-    tokens, distinct = (int(sum(s[i] for s in sums)) for i in (0, 1))
-    grams = requests.where(F.col("kind") == _GRAM)
-    trees = materialize(grams.groupBy("part").applyInArrow(_weigh_part, _TREES), "ctw-trees")
+    words, grams = (requests.where(F.col("kind") == k) for k in (_WORD, _GRAM))
+    totals = materialize(_summed(words, blocks).groupBy("part").applyInArrow(_count_words, _TOTALS), "ctw-words")
+    tokens, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    trees = materialize(_summed(grams, blocks).groupBy("part").applyInArrow(_weigh_part, _TREES), "ctw-trees")
     release(spark)
     roots = spark.sparkContext.broadcast(_collect_roots(trees))
-    answers = materialize(trees.select("part", "keys", "mixed").groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(_answer(roots), _REQUEST), "ctw-answers")
+    answers = materialize(_by_group(trees.select("part", "keys", "mixed"), grams, blocks, _answer(roots)), "ctw-answers")
     release(spark)
-    answers = answers.unionByName(words.where(F.col("kind") == _WORD))
+    answers = answers.unionByName(_by_group(totals, words, blocks, _answer_words))
     schema = T.StructType([docs.schema["doc_id"], *SCORES.fields[1:]])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(tokens, distinct), schema)
     return out.select("*", F.lit(tokens).cast("long").alias("train_tokens"), (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
+_NODE_SUMS = "node binary, logw binary, n0 binary, n1 binary"
+
+
+def _fold(key, rows):
+    """The sums of the nodes of the parts that share their two latest context bytes."""
+    node, to = np.unique(np.concatenate([_unpack(x, np.int64) for x in rows.column("node").to_pylist()]), return_inverse=True)
+    sums = [np.bincount(to, np.concatenate([_unpack(x, np.float64) for x in rows.column(c).to_pylist()]), len(node)) for c in ("logw", "n0", "n1")]
+    return pa.Table.from_arrays([pa.array([_pack(x)], pa.binary()) for x in (node, *sums)], names=["node", "logw", "n0", "n1"])
+
+
 def _collect_roots(trees: DataFrame) -> Roots:
-    """The nodes of depths below ``STOP``: of these there are at most 65,536 * 255 whatever the corpus."""
-    node, sums = np.zeros(0, np.int64), [np.zeros(0)] * 3
-    for row in trees.select("node", "logw", "n0", "n1").toLocalIterator():
-        more = _unpack(row[0], np.int64)
-        own, to = np.unique(np.concatenate([node, more]), return_inverse=True)
-        sums = [np.bincount(to, np.concatenate([s, _unpack(v, np.float64)]), len(own)) for s, v in zip(sums, row[1:])]
-        node = own
-    return Roots(node, *sums)
+    """The nodes of depths below ``STOP``, each summed on an executor: there are at most 65,536 * 255 whatever the corpus."""
+    once = trees.select(F.floor(F.col("part") / _SPLIT).alias("latest"), "node", "logw", "n0", "n1").groupBy("latest").applyInArrow(_fold, _NODE_SUMS)
+    held: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], *([np.zeros(0)] for _ in range(3))]
+    for row in once.toLocalIterator():
+        for column, data, dtype in zip(held, row, (np.int64, np.float64, np.float64, np.float64)):
+            column.append(_unpack(data, dtype))
+    return Roots(*map(np.concatenate, held))

@@ -85,6 +85,7 @@ class LanguageModels:
     keys: list[np.ndarray] = field(default_factory=list)  # by order, from 1
     logp: list[np.ndarray] = field(default_factory=list)
     back: list[np.ndarray] = field(default_factory=list)
+    floor: np.ndarray | None = None  # of a symbol that no language has
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
@@ -106,7 +107,7 @@ class LanguageModels:
             if not len(at):
                 break
             if n == 1:
-                total[at] += -np.log(self.symbols)
+                total[at] += self.floor
                 break
             context = q >> np.uint64(BITS)
             keys = self.keys[n - 2]
@@ -156,6 +157,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
         union.insert(0, np.unique(np.concatenate([above & np.uint64((1 << BITS * n) - 1), above >> np.uint64(BITS)])))
     model.symbols = len(union[0]) + 1
     lower: np.ndarray | None = None
+    model.floor = np.zeros(len(languages), np.float32)
     model.back = [np.zeros((len(u), len(languages)), np.float32) for u in union]
     for n in range(1, ORDER + 1):
         keys = union[n - 1]
@@ -177,7 +179,9 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
             j, has = _lookup(k, keys)
             own_count = np.where(has, np.maximum(c[j] - discount, 0), 0.0)
             p[:, l] = np.where(hit, own_count / total[i] + gamma[i] * base[:, l], base[:, l])
-            if n > 1:
+            if n == 1:
+                model.floor[l] = np.log(gamma[0] / model.symbols)
+            else:
                 i, hit = _lookup(seen, union[n - 2])
                 model.back[n - 2][hit, l] = np.log(gamma[i[hit]])
         model.keys.append(keys)
@@ -209,9 +213,7 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sample_docs: int = 2000
     if not per:
         return build({})
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.lit(0.0)
-    for lang, n in sorted(per.items()):
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(rate)
+    rate = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(per.items()) for x in (lang, min(1.0, sample_docs / n)))), F.col("lang")), F.lit(0.0))
     sample = materialize(rows.select("doc_id", "lang", "text").where(draw < rate).select("lang", "text", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(5)) == 0).alias("apart")).repartition(spark.sparkContext.defaultParallelism), "lang-sample")
     learned, apart = sample.where("NOT apart"), sample.where("apart")
     counted = learned.select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()

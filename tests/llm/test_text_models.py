@@ -67,6 +67,56 @@ def test_kneser_ney_is_a_distribution():
     assert 0.9 < total < 1 + 1e-4  # the rest is for symbols never seen
 
 
+def brute_kneser_ney(texts, order=5):
+    """Log probabilities of a model of code sequences, by dictionaries: probability(context, symbol) and the symbols."""
+    counts = Counter()
+    for t in texts:
+        for i in range(1, len(t)):
+            counts[tuple(([0] * order + t)[i : i + order + 1][-order:])] += 1
+    levels = [counts]
+    for _ in range(order - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    discounts = []
+    for level in levels:
+        n1, n2 = (sum(c == k for c in level.values()) for k in (1, 2))
+        discounts.append(min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 else 0.5)
+
+    def p(context, symbol, n, total_symbols):
+        if n == 0:
+            return 1 / total_symbols
+        own = {g: c for g, c in levels[n - 1].items() if g[:-1] == context}
+        lower = p(context[1:], symbol, n - 1, total_symbols)
+        if not own:
+            return lower
+        total, d = sum(own.values()), discounts[n - 1]
+        return (max(own.get((*context, symbol), 0) - d, 0) + d * len(own) * lower) / total
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries():
+    rng = random.Random(9)
+    learned = [sentence(rng, "aa", 6) for _ in range(12)]
+    asked = [learned[0], sentence(rng, "aa", 4), sentence(rng, "cc", 3), "a", "Ba-ba 7 ko"]
+
+    def codes(t):  # runs of anything but letters are one 0
+        fold, out = langid._fold(), [0]
+        for x in (int(fold[ord(c)]) for c in t):
+            if x or out[-1]:
+                out.append(x)
+        return out
+
+    key, starts, _ = langid.grams(learned)
+    model = langid.build({"aa": np.unique(np.delete(key, starts), return_counts=True)})
+    p = brute_kneser_ney([codes(t) for t in learned])
+    h, n, _ = model.entropy(asked)
+    for t, got, m in zip(asked, h[:, 0], n):
+        c = codes(t)
+        padded = [0] * 4 + c
+        want = -sum(math.log(p(tuple(padded[i : i + 4]), padded[i + 4], 5, model.symbols)) for i in range(1, len(c)))
+        assert m == len(c) - 1 and got == pytest.approx(want / m, rel=1e-4)
+
+
 def kt(n0, n1):
     return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
 
@@ -110,7 +160,9 @@ def brute_ctw(train, texts, depth):
     return [sum(math.log10(bit(c, (y | 256) >> (8 - k), y >> (7 - k) & 1)) for c, y in walk(t) for k in range(8)) for t in texts]
 
 
-def test_ctw_against_plain_recursion(docs_of):
+@pytest.mark.parametrize("group", [256, 3])
+def test_ctw_against_plain_recursion(docs_of, monkeypatch, group):
+    monkeypatch.setattr(ctw, "GROUP", group)
     rows, _ = corpus(60, 4)
     rows += [(100, None), (101, ""), (102, "ÄÖ é\t\n xyz"), (103, "Aa aA \x0b q"), (None, "null id"), rows[3]]
     docs = docs_of(rows)

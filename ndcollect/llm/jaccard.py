@@ -20,8 +20,10 @@ different sets are expected once in 2**64 pairs).
 
 Words are the white-space separated parts of the lower-cased text; a text of one to four words has one gram
 of all of them. Defined cases: a null, empty or blank text has no grams, no links and a class of its own; a
-row with a null id has a null class and no link; rows that repeat id and text count as copies; extra columns
-are ignored by ``links`` and kept by ``deduplicate``.
+row with a null id takes part like any other and ranks last (the class of rows all without ids is null); rows
+that repeat id and text count as copies, of which ``deduplicate`` keeps one; rows of one id with different texts
+are told apart by a hash of the text; extra columns, whatever their names, are ignored by ``links`` and kept by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fewer, materialize, merged, mix64, modest_batches, release, text_of, tidy
+from .exact_dedup import without
 
 GRAM = 5
 SKETCH = 64
@@ -102,7 +105,7 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(node).view(np.int64), out
 
 
-_NODES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n_grams", T.LongType()), T.StructField("sketch", T.BinaryType())])
+_NODES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n_grams", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
 
 def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, row in zip(full, rows):
                 sketch[i] = row.tobytes()
         n = np.array([len(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, mask=n == 0), pa.array(n), pa.array(sketch, pa.binary())], names=["doc_id", "node", "n_grams", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node, mask=n == 0), pa.array(n), pa.array(sketch, pa.binary())], names=["doc_id", "text_key", "node", "n_grams", "sketch"])
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -240,17 +243,17 @@ def candidates(nodes: DataFrame, *, threshold: float, recall: float, bucket: int
     for level in range(1, depth + 1):
         sizes = materialize(fewer(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "jaccard-sizes")
         live = keys.join(sizes.hint("merge"), "key").join(nodes.select("node", "sketch").hint("merge"), "node")
-        live = materialize(fewer(live.select("key", "node", "n", "sketch")), "jaccard-live")
+        live = materialize(live.select("key", "node", "n", "sketch"), "jaccard-live")
         near = live if level == depth else live.where(F.col("n") <= bucket)
         met = _blocked(near, "n", "key", max(1, bucket // 2)).select("key", "cell", "node", "sketch")
-        found = fewer(met.repartition("key", "cell").sortWithinPartitions("key", "cell")).mapInArrow(_compare(threshold - slack), "node long, to long")
+        found = met.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(threshold - slack), "node long, to long")
         edges = found if edges is None else edges.unionByName(found)
         release(spark)
         if level < depth:
             large = live.where(F.col("n") > bucket)
             if large.isEmpty():
                 break
-            keys = fewer(large.repartition("key", "node")).mapInArrow(_grow(threshold, None), "key long, node long")
+            keys = large.repartition("key", "node").mapInArrow(_grow(threshold, None), "key long, node long")
     return edges
 
 
@@ -342,25 +345,32 @@ def _verify(threshold: tuple[int, int]):
     return run
 
 
-def links(docs: DataFrame, *, threshold: tuple[int, int] = (4, 5), recall: float = 0.999, bucket: int = 1000, depth: int = 3, slack: float = 0.18) -> DataFrame:
-    """doc_id, class_id (smallest id of the class), n_links (documents linked to this one, copies included), class_size."""
+def _texts(docs: DataFrame) -> DataFrame:
+    text = text_of("text")
+    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def classes(docs: DataFrame, *, threshold: tuple[int, int] = (4, 5), recall: float = 0.999, bucket: int = 1000, depth: int = 3, slack: float = 0.18) -> DataFrame:
+    """By row: doc_id, text_key, class_id, n_links, class_size, and the row that stands for the class (keep_id, keep_key; no key where there are no grams)."""
     modest_batches(docs.sparkSession)
     level = threshold[0] / threshold[1]
     schema = T.StructType([docs.schema["doc_id"], *_NODES.fields[1:]])
-    embedded = materialize(docs.select("doc_id", text_of("text").alias("text")).mapInArrow(_embed, schema), "jaccard-embedded")
-    known = embedded.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = materialize(fewer(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"))), "jaccard-nodes")
+    embedded = materialize(_texts(docs).mapInArrow(_embed, schema), "jaccard-embedded")
+    known = embedded.where("node IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = materialize(fewer(known.groupBy("node").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"))), "jaccard-nodes")
     edges = candidates(nodes, threshold=level, recall=recall, bucket=bucket, depth=depth, slack=slack)
     grouped = materialize(fewer(components(edges)), "jaccard-components")
     sizes = materialize(fewer(grouped.groupBy("label").agg(F.count(F.lit(1)).alias("n"))), "jaccard-component-sizes")
     members = grouped.join(sizes.hint("merge"), "label").join(nodes.drop("sketch").hint("merge"), "node")
-    members = materialize(fewer(members.select("node", "label", "n", "weight", F.col("rep").alias("doc_id"))), "jaccard-members")
-    texts = docs.select("doc_id", text_of("text").alias("text")).join(members.hint("merge"), "doc_id")
-    sets = materialize(fewer(fewer(texts).mapInArrow(_sets, "node long, label long, n long, weight long, grams binary").dropDuplicates(["node"])), "jaccard-sets")
+    members = materialize(fewer(members.select("node", "label", "n", "weight", F.col("rep.doc_id").alias("id"), F.col("rep.text_key").alias("key"))), "jaccard-members")
+    texts = _texts(docs).join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    texts = texts.select("text", "node", "label", "n", "weight")
+    sets = materialize(texts.mapInArrow(_sets, "node long, label long, n long, weight long, grams binary").dropDuplicates(["node"]), "jaccard-sets")
     release(docs.sparkSession)
     half = max(1, bucket // 2)
     met = _blocked(sets, "n", "label", half).select("label", "cell", "block", "node", "weight", (F.col("n") <= 2 * half).alias("whole"), "grams")
-    verified = fewer(met.repartition("label", "cell").sortWithinPartitions("label", "cell")).mapInArrow(_verify(threshold), "node long, to long, links long, whole boolean")
+    verified = met.repartition("label", "cell").sortWithinPartitions("label", "cell").mapInArrow(_verify(threshold), "node long, to long, links long, whole boolean")
     verified = materialize(verified, "jaccard-verified")
     own = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("to"))).alias("own_label"))
     placed = nodes.select("node", "rep", "weight").join(own.hint("merge"), "node", "left")
@@ -370,14 +380,28 @@ def links(docs: DataFrame, *, threshold: tuple[int, int] = (4, 5), recall: float
     else:
         placed = placed.join(components(parts).hint("merge"), "node", "left")
     placed = materialize(fewer(placed.select("node", F.coalesce("own_label", "label", "node").alias("label"), "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"))), "jaccard-placed")
-    named = materialize(fewer(placed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("weight").alias("class_size"))), "jaccard-named")
-    result = placed.join(named.hint("merge"), "label").select("node", "class_id", "class_size", (F.col("links") + F.col("weight") - 1).alias("n_links"))
-    linked = known.select("doc_id", "node").join(result.hint("merge"), "node").select("doc_id", "class_id", "n_links", "class_size")
-    alone = embedded.where("node IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
+    named = placed.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"), F.min("rep").alias("keep"), F.sum("weight").alias("class_size"))
+    named = materialize(fewer(named), "jaccard-named")
+    result = placed.join(named.hint("merge"), "label").select("node", "class_id", F.col("keep.text_key").alias("keep_key"), F.col("keep.doc_id").alias("keep_id"), "class_size", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    out = ["doc_id", "text_key", "class_id", "n_links", "class_size", "keep_id", "keep_key"]
+    linked = known.select("doc_id", "text_key", "node").join(result.hint("merge"), "node").select(*out)
+    none = F.lit(None).cast("long")
+    alone = embedded.where("node IS NULL").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), none.alias("keep_id"), none.alias("keep_key"))
     return linked.unionByName(alone)
 
 
+def links(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (smallest id of the class), n_links (documents linked to this one, copies included), class_size.
+
+    Options as of ``classes``.
+    """
+    return classes(docs, **options).select("doc_id", "class_id", "n_links", "class_size")
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its columns and, of each class, only the row of smallest id. Rows with a null id stay."""
-    gone = links(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` with its columns and, of each class, one row: one of the smallest id."""
+    placed = classes(docs, **options).where("keep_key IS NOT NULL")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    counted = placed.select("doc_id", "text_key", own.alias("again")).groupBy("doc_id", "text_key", "again").agg(F.count(F.lit(1)).alias("n"))
+    gone = materialize(fewer(counted.where("NOT again OR n > 1").drop("n")), "jaccard-gone")
+    return without(docs, gone, F.xxhash64(text_of("text")))

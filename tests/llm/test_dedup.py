@@ -94,15 +94,15 @@ def brute_links(rows):
     for a in range(len(rows)):
         for b in range(a):
             x, y = sets[a], sets[b]
-            if None not in (rows[a][0], rows[b][0]) and x and y and 5 * len(x & y) >= 4 * len(x | y):
+            if x and y and 5 * len(x & y) >= 4 * len(x | y):
                 links[a] += 1
                 links[b] += 1
                 old, new = label[a], label[b]
                 label = [new if z == old else z for z in label]
     out = []
     for k, (i, _) in enumerate(rows):
-        members = [rows[j][0] for j in range(len(rows)) if label[j] == label[k]]
-        out.append((i, min(members) if None not in members else i, links[k]))
+        members = [rows[j][0] for j in range(len(rows)) if label[j] == label[k] and rows[j][0] is not None]
+        out.append((i, min(members, default=None), links[k]))
     return sorted(out, key=repr)
 
 
@@ -135,7 +135,10 @@ def test_jaccard_deduplicate(docs_of):
     t = words(random.Random(3), 100)
     docs = docs_of([(4, t), (2, t + " more"), (3, t), (8, "other"), (None, t), (9, None)])
     kept = jaccard.deduplicate(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 8, None, 9}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 8, 9}
+    odd = docs_of([(4, t), (4, t), (4, "something else"), (5, t), (None, t), (None, "no id"), (None, "no id"), (6, None), (6, None)]).withColumn("__gone", F.lit(1)).withColumn("node", F.lit(2))
+    left = jaccard.deduplicate(odd)
+    assert left.columns == odd.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(4, t), (4, "something else"), (None, "no id"), (6, None), (6, None)], key=repr)
     assert jaccard.links(docs.limit(0)).count() == 0
 
 

@@ -21,6 +21,8 @@ import hashlib
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -159,7 +161,14 @@ def expected(model: Model, tokenizer, text: str) -> str:
 
 
 _WORD = re.compile(" +[^ ]*|[^ ]+")
-MOST_WORDS = 300_000  # looked-up words a task keeps; beyond, it starts afresh
+MOST_WORDS = 250_000  # looked-up words in each half of what a task keeps; beyond, the older half goes
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("i", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def unpacked(data: bytes | None) -> list[int]:
@@ -169,10 +178,11 @@ def unpacked(data: bytes | None) -> list[int]:
 class Codec:
     """Encoder and decoder of one model file's bytes."""
 
-    def __init__(self, data: bytes, threads: bool = True):
+    def __init__(self, data: bytes, threads: int = 2):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # a worker has a share of the machine, not all of it
         from tokenizers import decoders
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
         self.model = parse(data)
         self.tokenizer = backend(self.model)
         self.data = data
@@ -183,6 +193,7 @@ class Codec:
         fuses = not m.byte_fallback and not any(p == META for p, _, _ in m.pieces)  # unknown characters of two words
         self.by_word = self.identity and not special and not fuses and not any(META in p.lstrip(META) for p, _, _ in m.pieces)
         self._words: dict[str, bytes] = {}  # packed ids
+        self._older: dict[str, bytes] = {}
         if self.by_word:
             self._bare = backend(m)
             self._bare.normalizer = None
@@ -222,16 +233,21 @@ class Codec:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.by_word:
             got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-            return [np.array(e.ids, "<i4").tobytes() for e in got]
+            return [_packed(e.ids) for e in got]
         parts = [self._split(t) for t in texts]
-        known = self._words
-        if len(known) > MOST_WORDS:
-            known.clear()
-        new = list({w for words in parts for w in words if w not in known})
+        if len(self._words) > MOST_WORDS:
+            self._words, self._older = {}, self._words
+        known, older = self._words, self._older
+        new = set().union(*parts).difference(known)
+        if older:  # words that come again stay; the others go with the older half
+            again = new.intersection(older)
+            known.update((w, older[w]) for w in again)
+            new -= again
+        new = list(new)
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             ids = [e.ids for e in self._bare.encode_batch_fast([w.replace(" ", META) for w in some], add_special_tokens=False)]
-            known.update((w, np.array(i, "<i4").tobytes()) for w, i in zip(some, ids))
+            known.update(zip(some, map(_packed, ids)))
             self._astray.update(w for w, b in zip(some, self._bare.decode_batch(ids, skip_special_tokens=False)) if w != b)
             self._differ.update(w for w, i, r in zip(some, ids, self._by_library(some)) if i != r)
         return [b"".join(map(known.__getitem__, words)) for words in parts]
@@ -245,12 +261,19 @@ class Codec:
     def normalised(self, text: str) -> str:
         return text.replace(META, " ") if self.identity else expected(self.model, self.tokenizer, text)
 
-    def reference(self, texts: list[str]) -> list[list[int]]:
+    def _library(self):
         if self._reference is None:
             import sentencepiece
 
             self._reference = sentencepiece.SentencePieceProcessor(model_proto=self.data)
-        return self._reference.encode(texts, num_threads=1)
+        return self._reference
+
+    def reference(self, texts: list[str]) -> list[list[int]]:
+        """The ids that the SentencePiece library gives."""
+        return self._library().encode(texts, num_threads=1)
+
+    def decode_by_library(self, ids: list[list[int]]) -> list[str]:
+        return self._library().decode(ids, num_threads=1)
 
 
 _codecs: dict[str, Codec] = {}
@@ -270,8 +293,8 @@ def encode(docs: DataFrame, model: str | bytes, *, parity_every: int = 16, with_
     """doc_id, n_tokens, ids (little-endian int32), ids_sha256, round_trip, parity of every row's whole text.
 
     ``model`` is the file's path on the driver or its bytes (broadcast; a model file has a fixed size).
-    ``parity`` says whether a row's ids are those of the SentencePiece library, and is never null. Rows whose id's
-    hash is divisible by ``parity_every`` are encoded and decoded as a whole for that, too, where words are apart.
+    ``parity`` says whether a row's ids are those of the SentencePiece library, and is never null. Where words are
+    apart, rows whose id's hash is divisible by ``parity_every`` are also encoded and decoded as a whole by that library.
     """
     if isinstance(model, str):
         with open(model, "rb") as f:
@@ -281,7 +304,7 @@ def encode(docs: DataFrame, model: str | bytes, *, parity_every: int = 16, with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for batch in merged(batches, "text", 512 << 10):
+        for batch in merged(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             packed = codec.packed(texts)
             ok = codec.round_trips(texts, packed)
@@ -289,7 +312,7 @@ def encode(docs: DataFrame, model: str | bytes, *, parity_every: int = 16, with_
             probe = [i for i, c in enumerate(batch.column("check").to_pylist()) if c] if codec.by_word else []
             if probe:
                 some = [texts[i] for i in probe]
-                for i, t, r, b in zip(probe, some, codec.reference(some), codec.decode([unpacked(packed[i]) for i in probe])):
+                for i, t, r, b in zip(probe, some, codec.reference(some), codec.decode_by_library([unpacked(packed[i]) for i in probe])):
                     parity[i] = parity[i] and unpacked(packed[i]) == r
                     ok[i] = ok[i] and b == codec.normalised(t)
             yield pa.RecordBatch.from_arrays(

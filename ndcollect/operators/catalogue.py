@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ndindex import element_count
+
 
 def live(datasets: DataFrame, mask: DataFrame) -> DataFrame:
     """Datasets that the deletion mask doesn't hide."""
     return datasets.join(mask.select("ordinal"), "ordinal", "left_anti")
 
 
+def repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that more than one row has."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+
+
 def array_names(layouts: DataFrame, datasets: DataFrame) -> DataFrame:
     """Distinct array names of the given datasets, sorted."""
     return layouts.join(datasets.select("ordinal"), "ordinal", "left_semi").select("array").distinct().orderBy("array")
@@ -55,13 +62,26 @@ def merged(layouts: DataFrame, attrs: DataFrame) -> DataFrame:
     return rows.groupBy("scope", "array", "name").agg(F.array_sort(F.collect_set("dtype")).alias("dtypes"))
 
 
-def faults(datasets: DataFrame, layouts: DataFrame, attrs: DataFrame) -> DataFrame:
-    """What contradicts what: empty for a sound collection."""
+def faults(datasets: DataFrame, layouts: DataFrame, attrs: DataFrame, stats: DataFrame | None = None, mask: DataFrame | None = None, chunks: list[DataFrame] | None = None) -> DataFrame:
+    """What contradicts what, in tables of names, layouts and attributes and, where given, of statistics, mask and chunks: empty for a sound collection."""
     orphan = lambda t, name: t.join(datasets, "ordinal", "left_anti").select(F.concat(F.lit(f"{name} of unknown dataset "), F.col("ordinal").cast("string")).alias("fault")).distinct()
     twice = lambda t, keys, what: t.groupBy(*keys).count().where("count > 1").select(F.concat_ws(" ", F.lit(what), *(F.col(k).cast("string") for k in keys)).alias("fault"))
     lost = attrs.where("array IS NOT NULL").join(layouts, ["ordinal", "array"], "left_anti").select(F.concat_ws(" ", F.lit("attribute of unknown array"), "array").alias("fault"))
     odd = layouts.where((F.size("shape") != F.size("dims")) | (F.size("shape") != F.size("chunk_shape"))).select(F.concat_ws(" ", F.lit("axes differ in array"), "array").alias("fault"))
     parts = [orphan(layouts, "layout"), orphan(attrs, "attribute"), twice(datasets, ["name"], "dataset name repeats:"), twice(datasets, ["ordinal"], "ordinal repeats:"), twice(layouts, ["ordinal", "array"], "array repeats:"), lost, odd]
+    named = lambda t, what: t.select(F.concat_ws(" ", F.lit(what), "array", F.col("ordinal").cast("string")).alias("fault")).distinct()
+    if stats is not None:
+        counted = stats.join(layouts.select("ordinal", "array", F.col("dtype").alias("declared"), element_count(F.col("shape")).alias("size")), ["ordinal", "array"], "left")
+        parts.append(named(counted.where("size IS NULL"), "statistics of undeclared array"))
+        parts.append(named(counted.where("declared <> dtype OR size <> row_count OR null_count NOT BETWEEN 0 AND row_count"), "statistics contradict array"))
+    if mask is not None:
+        parts.append(orphan(mask, "mask"))
+    for rows in chunks or []:
+        held = rows.join(layouts.select("ordinal", "array", "shape", "chunk_shape"), ["ordinal", "array"], "left")
+        parts.append(named(held.where("shape IS NULL"), "chunk of undeclared array"))
+        at = F.concat(F.filter(F.array("c0", "c1", "c2", "c3"), lambda c: c.isNotNull()), F.coalesce("cx", F.array().cast("array<bigint>")))
+        size = F.aggregate(F.arrays_zip(at.alias("at"), "shape", "chunk_shape"), F.lit(1).cast("long"), lambda n, x: n * F.least(x.chunk_shape, x.shape - x["at"] * x.chunk_shape))
+        parts.append(named(held.where((F.size(at) != F.size("shape")) | (size != F.size("values"))), "chunk of wrong size in array"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

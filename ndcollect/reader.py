@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
 from .errors import ArrayNotFound, CorruptCollection, CorruptMask, DatasetNotFound, NotACollection, UnsupportedVersion
 from .functions.ndindex import chunk_count
+from .log import LOGGER
 from .model import DTYPES, STORAGE, attr_value, zero
 from .operators import attributes, catalogue, hyperslab, statistics
+from .schema import ArrayMeta, SchemaView
 from .sources import location
 
 FORMAT, VERSION = "ndcollect", 1
@@ -38,8 +43,9 @@ class Collection:
     # -- opening ---------------------------------------------------------------------------------------------
 
     @classmethod
-    def open(cls, spark: SparkSession, source: Any) -> "Collection":
-        path = location.resolve(source).rstrip("/")
+    def open(cls, spark: SparkSession, source: Any, **store: Any) -> "Collection":
+        """The collection at a location; ``store`` are options of its object store."""
+        path = location.use(spark, source, store).rstrip("/")
         text = location.read_text(spark, f"{path}/manifest.json")
         if text is None:
             raise NotACollection(f"no manifest under {path}")
@@ -52,30 +58,45 @@ class Collection:
             raise NotACollection(f"{path} is of the format {kind!r}")
         if version != VERSION:
             raise UnsupportedVersion(f"collection version {version}; this library reads version {VERSION}")
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-        chunks = {c: spark.read.schema(tables.chunks(c)).parquet(f"{path}/chunks/{c}") for c in manifest["chunks"]}
+        root = f"{path}/data/{manifest.get('data')}"
+        if not location.exists(spark, f"{root}/datasets"):
+            raise CorruptCollection(f"the tables of {path} are missing")
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{root}/{name}")
+        chunks = {c: spark.read.schema(tables.chunks(c)).parquet(f"{root}/chunks/{c}") for c in manifest["chunks"]}
         out = cls(spark, read("datasets", tables.DATASETS), read("layouts", tables.LAYOUTS), read("attrs", tables.ATTRS), read("stats", tables.STATS), spark.createDataFrame([], tables.MASK), chunks, path, manifest)
+        if not manifest.get("names_checked"):  # who wrote it has not vouched for it
+            twice = catalogue.repeated(out.datasets, "name").first()
+            if twice is not None:
+                raise CorruptCollection(f"dataset name {twice.name!r} repeats in {path}")
         out._load_mask()
         return out
 
+    @property
+    def root(self) -> str:
+        """The folder of the version that is open."""
+        return f"{self.path}/data/{self.manifest['data']}"
+
     def _load_mask(self) -> None:
-        """The current mask: the version that the pointer file names. Ordinals of no dataset are ignored."""
-        text = location.read_text(self.spark, f"{self.path}/mask.json")
+        """The current mask: the one that the pointer file names. Ordinals of no dataset are ignored, with a warning."""
+        text = location.read_text(self.spark, f"{self.root}/mask.json")
         if text is None:
             return
         try:
-            at = int(json.loads(text)["version"])
+            where = f"{self.root}/mask/{json.loads(text)['mask']}"
+            stored = self.spark.read.schema(tables.MASK).parquet(where)
+            known = stored.join(self.datasets, "ordinal", "left_semi")
+            lost = stored.join(self.datasets, "ordinal", "left_anti").count()
         except (ValueError, KeyError, TypeError) as e:
-            raise CorruptMask(f"{self.path}/mask.json is no deletion mask") from e
-        where = f"{self.path}/mask/v{at}"
-        if not location.exists(self.spark, where):
-            raise CorruptMask(f"{where} is missing")
-        self.mask = self.spark.read.schema(tables.MASK).parquet(where).join(self.datasets, "ordinal", "left_semi")
-        self.manifest["mask_version"] = at
+            raise CorruptMask(f"{self.root}/mask.json is no deletion mask") from e
+        except (PySparkException, Py4JJavaError) as e:
+            raise CorruptMask(f"the deletion mask that {self.root}/mask.json names can't be read") from e
+        if lost:
+            LOGGER.warning("the mask of %s names %d unknown ordinals, which are ignored", self.path, lost)
+        self.mask = known
 
     def validate(self) -> DataFrame:
         """Contradictions between the tables; no rows if there are none."""
-        return catalogue.faults(self.datasets, self.layouts, self.attrs)
+        return catalogue.faults(self.datasets, self.layouts, self.attrs, self.stats, self.mask, list(self.chunks.values()))
 
     def register(self, prefix: str = "") -> None:
         """The live logical tables as temporary views, for SQL."""
@@ -178,7 +199,11 @@ class Collection:
     # -- deletion --------------------------------------------------------------------------------------------
 
     def delete_datasets(self, names: list[str]) -> int:
-        """Hide datasets. All names must be live or nothing changes; repeats count once; of concurrent calls the last wins."""
+        """Hide datasets. All names must be live or nothing changes; repeats count once.
+
+        The mask is read again, written whole beside the old one and then pointed to in one step: readers see the old
+        or the new one. Of calls that overlap in time the last one's mask holds.
+        """
         wanted = list(dict.fromkeys(names))
         if not wanted:
             return 0
@@ -191,9 +216,9 @@ class Collection:
         more = self.spark.createDataFrame([(o,) for o in found.values()], tables.MASK)
         mask = self.mask.select("ordinal").unionByName(more).distinct()
         if self.path:
-            at = self.manifest.get("mask_version", 0) + 1
-            mask.coalesce(1).sortWithinPartitions("ordinal").write.mode("overwrite").parquet(f"{self.path}/mask/v{at}")
-            location.write_text(self.spark, f"{self.path}/mask.json", json.dumps({"version": at}))
+            name = uuid.uuid4().hex
+            mask.coalesce(1).sortWithinPartitions("ordinal").write.parquet(f"{self.root}/mask/{name}")
+            location.write_text(self.spark, f"{self.root}/mask.json", json.dumps({"mask": name}))
             self._load_mask()
         else:
             self.mask = mask
@@ -201,17 +226,40 @@ class Collection:
 
     # -- container -------------------------------------------------------------------------------------------
 
+    def segment_names(self) -> list[str]:
+        """Arrays of which any cell is stored, deleted datasets included, sorted."""
+        stored = [rows.select("array") for rows in self.chunks.values()]
+        return sorted({r.array for rows in stored for r in rows.distinct().collect()})
+
+    def segment_entry(self, array: str) -> dict[str, Any] | None:
+        """Folders and stored bytes of one array; null if no cell of it is stored."""
+        if not self.path:
+            return None
+        places = [f"{self.root}/chunks/{c}/array={array}" for c in self.manifest["chunks"]]
+        sizes = {p: location.size(self.spark, p) for p in places if location.exists(self.spark, p)}
+        return {"array": array, "paths": list(sizes), "bytes": sum(sizes.values())} if sizes else None
+
     def segment_bytes(self) -> dict[str, int]:
         """Stored bytes by array."""
-        out: dict[str, int] = {}
-        for column in self.manifest.get("chunks", []):
-            for r in self.layouts.select("array", "dtype").distinct().collect():
-                if DTYPES[r.dtype][0] == column:
-                    out[r.array] = out.get(r.array, 0) + location.size(self.spark, f"{self.path}/chunks/{column}/array={r.array}")
-        return out
+        return {a: entry["bytes"] for a in self.segment_names() if (entry := self.segment_entry(a))}
+
+    @property
+    def format_version(self) -> int:
+        return self.manifest.get("version", VERSION)
+
+    @property
+    def created_unix_ms(self) -> int:
+        return self.manifest.get("created_ms", 0)
+
+    @property
+    def codec(self) -> str | None:
+        return self.manifest.get("codec")
+
+    def container_bytes(self) -> int:
+        return location.size(self.spark, self.root) if self.path else 0
 
     def summary(self) -> dict[str, Any]:
-        return {"format_version": self.manifest.get("version", VERSION), "created_unix_ms": self.manifest.get("created_ms", 0), "codec": self.manifest.get("codec"), "container_bytes": location.size(self.spark, self.path) if self.path else 0, "total_datasets": self.total_datasets(), "interned_schemas": self.interned_schemas()}
+        return {"format_version": self.format_version, "created_unix_ms": self.created_unix_ms, "codec": self.codec, "container_bytes": self.container_bytes(), "total_datasets": self.total_datasets(), "interned_schemas": self.interned_schemas()}
 
 
 @dataclass
@@ -230,6 +278,12 @@ class Dataset:
     def list_arrays(self) -> list[str]:
         return [r.array for r in self._layouts().orderBy("position").collect()]
 
+    def schema(self) -> SchemaView:
+        """What the dataset declares: arrays with their attribute keys, and its own attributes, in order."""
+        own = self.collection.attrs.where(F.col("ordinal") == self.ordinal).orderBy("pos").select("array", "key", "dtype").collect()
+        arrays = [ArrayMeta(r.array, r.dtype, r.position, tuple(a.key for a in own if a.array == r.array)) for r in self._layouts().orderBy("position").collect()]
+        return SchemaView(tuple(arrays), tuple((a.key, a.dtype) for a in own if a.array is None))
+
     def layout(self, array: str) -> dict[str, Any]:
         row = self._layouts().where(F.col("array") == array).first()
         if row is None:
@@ -255,13 +309,17 @@ class Dataset:
         """An array's attributes; none for an unknown array."""
         return {r.key: attr_value(r.asDict()) for r in self._attrs(array).orderBy("pos").collect()}
 
+    def _one(self, array: str | None, key: str) -> Any:
+        row = self._attrs(array).where(F.col("key") == key).first()
+        return None if row is None else attr_value(row.asDict())
+
     def get_attribute(self, key: str) -> Any:
-        return self.attributes().get(key)
+        return self._one(None, key)
 
     def get_array_attribute(self, array: str, key: str) -> Any:
         if self._layouts().where(F.col("array") == array).isEmpty():
             raise ArrayNotFound(array)
-        return self.array_attributes(array).get(key)
+        return self._one(array, key)
 
     def array_stats(self, array: str) -> dict[str, Any] | None:
         row = self.collection.stats.where((F.col("ordinal") == self.ordinal) & (F.col("array") == array)).first()

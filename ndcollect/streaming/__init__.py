@@ -1,8 +1,8 @@
-"""Bounded batches at ingest."""
+"""Arrays in bounded blocks at ingest: a task holds one at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import product
 
 
@@ -12,17 +12,3 @@ def blocks(shape: list[int], chunk: list[int]) -> Iterator[tuple[list[int], list
         return
     for at in product(*(range(0, s, c) for s, c in zip(shape, chunk))):
         yield list(at), [min(c, s - a) for a, s, c in zip(at, shape, chunk)]
-
-
-def batches(items: Iterable[tuple[int, object]], most: int = 8, budget: int = 64 << 20) -> Iterator[list[object]]:
-    """Items with their sizes, in lists of at most ``most`` and, but for single large ones, at most ``budget`` bytes."""
-    held: list[object] = []
-    size = 0
-    for n, item in items:
-        if held and (len(held) >= most or size + n > budget):
-            yield held
-            held, size = [], 0
-        held.append(item)
-        size += n
-    if held:
-        yield held

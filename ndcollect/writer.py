@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import threading
 import time
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from . import tables
 from .errors import ArrayAlreadyExists, ArrayNotFound, DatasetAlreadyExists, InvalidValue, UnsupportedType, WriterFinished
 from .model import DTYPES, STORAGE, attr_row, check_fill, check_name, infer_attr, parse_dtype, typed_attr
-from .operators import hyperslab, statistics
+from .operators import catalogue, hyperslab, statistics
 from .reader import FORMAT, VERSION, Collection
 from .sources import location
 
@@ -25,16 +26,43 @@ CODECS = {"zstd": "zstd", "lz4": "lz4_raw", "none": "uncompressed"}
 
 
 def save(collection: Collection, destination: Any, codec: str = "zstd", block_bytes: int = 8 << 20) -> Collection:
-    """Write a collection's tables; it becomes visible with its manifest, which is written last."""
-    import json
+    """Write a collection's tables; it becomes visible with its manifest, which is written last.
 
+    Every version has a folder of its own under ``data``. The manifest names it, so one step leads from the old
+    version to the new, and only then the old one goes: a collection may be saved over itself, and a failure midway
+    leaves the old version as it was. A new version has no deletion mask.
+    """
     if codec not in CODECS:
         raise InvalidValue(f"unknown codec {codec!r}; expected one of {', '.join(CODECS)}")
     if block_bytes <= 0:
         raise InvalidValue("the block size must be positive")
     spark, path = collection.spark, location.resolve(destination).rstrip("/")
-    location.delete(spark, f"{path}/manifest.json")
-    location.delete(spark, f"{path}/mask.json")
+    version, before = uuid.uuid4().hex, _version_of(spark, path)
+    root = f"{path}/data/{version}"
+    try:
+        _write_tables(collection, root, codec, block_bytes)
+        names = spark.read.schema(tables.DATASETS).parquet(f"{root}/datasets")
+        twice = catalogue.repeated(names, "name").first()
+        if twice is not None:
+            raise DatasetAlreadyExists(twice.name)
+    except BaseException:
+        location.delete(spark, root)
+        raise
+    manifest = {"format": FORMAT, "version": VERSION, "created_ms": int(time.time() * 1000), "codec": codec, "chunks": sorted(collection.chunks), "data": version, "names_checked": True}
+    location.write_text(spark, f"{path}/manifest.json", json.dumps(manifest))
+    if before:
+        location.delete(spark, f"{path}/data/{before}")
+    return Collection.open(spark, path)
+
+
+def _version_of(spark: SparkSession, path: str) -> str | None:
+    try:
+        return json.loads(location.read_text(spark, f"{path}/manifest.json") or "{}").get("data")
+    except (ValueError, AttributeError):
+        return None
+
+
+def _write_tables(collection: Collection, path: str, codec: str, block_bytes: int) -> None:
     option = lambda w: w.mode("overwrite").option("compression", CODECS[codec]).option("parquet.block.size", str(max(block_bytes, 1 << 16)))
     for name, schema in (("datasets", tables.DATASETS), ("layouts", tables.LAYOUTS), ("attrs", tables.ATTRS), ("stats", tables.STATS)):
         rows = getattr(collection, name)
@@ -44,9 +72,6 @@ def save(collection: Collection, destination: Any, codec: str = "zstd", block_by
         place = ["array", "ordinal", *(f"c{k}" for k in range(tables.AXES))]
         rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)  # by range, so one large dataset is many tasks
         option(rows.write).partitionBy("array").parquet(f"{path}/chunks/{column}")
-    manifest = {"format": FORMAT, "version": VERSION, "created_ms": int(time.time() * 1000), "codec": codec, "chunks": sorted(collection.chunks), "id": uuid.uuid4().hex}
-    location.write_text(spark, f"{path}/manifest.json", json.dumps(manifest))
-    return Collection.open(spark, path)
 
 
 @dataclass

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ndcollect import Collection, CollectionWriter
+from ndcollect import Collection, CollectionWriter, save
 from ndcollect.errors import ArrayAlreadyExists, ArrayNotFound, CorruptCollection, CorruptMask, DatasetAlreadyExists, DatasetNotFound, InvalidName, InvalidValue, NotACollection, UnsupportedType, UnsupportedVersion, WriterFinished
 from ndcollect.sources import location
 
@@ -106,7 +106,7 @@ def test_deletion_is_all_or_nothing_and_accumulates(spark, tmp_path):
     one, two = Collection.open(spark, path), Collection.open(spark, path)
     with pytest.raises(DatasetNotFound):
         one.delete_datasets(["feb_2024", "nothing"])
-    assert one.dataset_count() == 3 and one.delete_datasets([]) == 0 and not location.exists(spark, f"{path}/mask")
+    assert one.dataset_count() == 3 and one.delete_datasets([]) == 0 and not location.exists(spark, f"{one.root}/mask.json")
     assert one.delete_datasets(["feb_2024", "feb_2024"]) == 1
     assert two.delete_datasets(["stations"]) == 1
     c = Collection.open(spark, path)
@@ -114,11 +114,102 @@ def test_deletion_is_all_or_nothing_and_accumulates(spark, tmp_path):
     assert c.array_stats("temperature") == {"min": 0.0, "max": 31.0, "null_count": 0, "row_count": 32}
     with pytest.raises(DatasetNotFound):
         c.delete_datasets(["feb_2024"])
-    location.write_text(spark, f"{path}/mask.json", "nonsense")
+    for text in ("nonsense", '{"mask": "nowhere"}', "[]"):
+        location.write_text(spark, f"{c.root}/mask.json", text)
+        with pytest.raises(CorruptMask):
+            Collection.open(spark, path)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no Parquet")
+    location.write_text(spark, f"{c.root}/mask.json", '{"mask": "../../../../broken"}')
     with pytest.raises(CorruptMask):
         Collection.open(spark, path)
 
 
+def test_stored_masks_with_unknown_ordinals_warn(spark, tmp_path, caplog):
+    with CollectionWriter(spark, str(tmp_path / "c")) as w:
+        fill_main(w)
+    c = Collection.open(spark, str(tmp_path / "c"))
+    spark.createDataFrame([(99,), (1,)], "ordinal int").write.parquet(f"{c.root}/mask/m")
+    location.write_text(spark, f"{c.root}/mask.json", '{"mask": "m"}')
+    with caplog.at_level("WARNING", logger="ndcollect"):
+        assert Collection.open(spark, str(tmp_path / "c")).list_datasets() == ["jan_2024", "stations"]
+    assert "1 unknown ordinals" in caplog.text
+
+
+def test_saving_over_itself_and_failing_midway(spark, tmp_path):
+    path = str(tmp_path / "c")
+    with CollectionWriter(spark, path) as w:
+        fill_main(w)
+    c = Collection.open(spark, path)
+    c.delete_datasets(["feb_2024"])
+    again = save(Collection.open(spark, path), path, "none")
+    assert again.codec == "none" and again.total_datasets() == 3 == again.dataset_count() and again.dataset("jan_2024").read_values("temperature", None, [1, 3], [2, 2]) == [11.0, 12.0, 19.0, 20.0]
+    assert len(list((tmp_path / "c" / "data").iterdir())) == 1
+    broken = Collection.open(spark, path)
+    broken.chunks["g"] = broken.chunks["g"].withColumn("values", F.raise_error(F.lit("disk on fire")).cast("array<float>"))
+    with pytest.raises(Exception, match="disk on fire"):
+        save(broken, path)
+    assert len(list((tmp_path / "c" / "data").iterdir())) == 1 and Collection.open(spark, path).array_stats("temperature")["row_count"] == 64
+    twice = Collection.open(spark, path)
+    twice.datasets = twice.datasets.withColumn("name", F.lit("same"))
+    with pytest.raises(DatasetAlreadyExists):
+        save(twice, path)
+    assert Collection.open(spark, path).list_datasets() == ["jan_2024", "feb_2024", "stations"]
+
+
+def test_repeated_names_are_refused_at_open(spark, tmp_path):
+    path = str(tmp_path / "c")
+    with CollectionWriter(spark, path) as w:
+        fill_main(w)
+    c = Collection.open(spark, path)
+    c.datasets.withColumn("name", F.lit("same")).write.mode("overwrite").parquet(str(tmp_path / "names"))
+    import json
+    import shutil
+
+    shutil.rmtree(f"{c.root}/datasets")
+    shutil.copytree(tmp_path / "names", f"{c.root}/datasets")
+    location.write_text(spark, f"{path}/manifest.json", json.dumps({k: v for k, v in c.manifest.items() if k != "names_checked"}))
+    with pytest.raises(CorruptCollection, match="same"):
+        Collection.open(spark, path)
+
+
+def test_schema_views(spark, tmp_path):
+    def view(name, dtype="int64", key="k", value=1, arrays=("a", "b")):
+        with CollectionWriter(spark, str(tmp_path / name)) as w, w.add_dataset("d") as d:
+            for a in arrays:
+                d.define_array(a, dtype, ["i"], [2])
+            d.set_attribute("units", "m", arrays[0])
+            d.set_attribute(key, value)
+        return Collection.open(spark, str(tmp_path / name)).dataset("d").schema()
+
+    one = view("one")
+    assert len(one) == 2 and one.names() == ["a", "b"] and [a.dtype for a in one] == ["int64"] * 2 and one.index_of("b") == 1 and one.index_of("x") is None
+    assert one.get("a").attribute_names == ("units",) and one.get("x") is None and one.get_index(1).name == "b" and one.get_index(2) is None
+    assert one.pairs == (("k", "int64"),) and one.attribute_names == ("k",) and one.attribute_dtype("k") == "int64" and one.attribute_dtype("x") is None
+    assert one == view("two", value="text") and one != view("three", dtype="int32") and one != view("four", key="other") and one != view("five", arrays=("b", "a"))
+
+
+def test_container_introspection(spark, main):
+    assert main.segment_names() == ["counts", "name", "observed", "temperature"] and main.format_version == 1 and main.codec == "zstd" and main.created_unix_ms > 10**12
+    entry = main.segment_entry("temperature")
+    assert entry["bytes"] > 0 and entry["paths"][0].endswith("array=temperature") and main.segment_entry("nothing") is None
+    assert 0 < sum(main.segment_bytes().values()) < main.container_bytes() and main.validate().isEmpty()
+
+
+def test_validation_finds_each_contradiction(spark, main_path):
+    def faults(**changed):
+        c = Collection.open(spark, main_path)
+        for k, f in changed.items():
+            setattr(c, k, f(getattr(c, k)))
+        return {r.fault.split(" ")[0] + " " + r.fault.split(" ")[1] for r in c.validate().collect()}
+
+    assert faults(stats=lambda t: t.withColumn("row_count", F.col("row_count") + 1)) == {"statistics contradict"}
+    assert faults(stats=lambda t: t.withColumn("array", F.lit("x"))) == {"statistics of"}
+    assert faults(mask=lambda t: spark.createDataFrame([(99,)], "ordinal int")) == {"mask of"}
+    assert faults(chunks=lambda m: {k: t.withColumn("values", F.slice("values", 1, 1)) for k, t in m.items()}) == {"chunk of"}
+    assert faults(datasets=lambda t: t.where("ordinal <> 1")) == {"layout of", "attribute of"} and "attribute of" in faults(layouts=lambda t: t.where("array <> 'temperature'"))
+
+
 def test_mask_of_unknown_ordinals_is_ignored(spark, main_path):
     c = Collection.open(spark, main_path)
     c.mask = spark.createDataFrame([(99,)], "ordinal int")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ndindex import axis_domain, chunk_of, coordinate, coordinates, extent, ravel, unravel, window_chunks
+from ..functions.ndindex import chunk_of, coordinate, coordinates, extent, ravel, unravel, window_chunks
+from ..tables import AXES
 
 
 def latest(cells: DataFrame, axes: list[str], sequence: str) -> DataFrame:
@@ -50,13 +51,28 @@ def window(chunks: DataFrame, names: list[str], shape: list[int], chunk_shape: l
     return rows
 
 
-def complete(cells: DataFrame, ordinals: DataFrame, names: list[str], start: list[Column | int], size: list[Column | int], unwritten: Column) -> DataFrame:
-    """Every cell of a window of each dataset in ``ordinals``; those without a value read as ``unwritten``.
+def grid(layouts: DataFrame, rank: int) -> DataFrame:
+    """A row for every chunk of each dataset of ``layouts`` (ordinal, shape, chunk_shape): its coordinates, with those columns."""
+    counts = [F.ceil(F.element_at("shape", k + 1) / F.element_at("chunk_shape", k + 1)) for k in range(rank)]
+    total = F.lit(1).cast("long")
+    for c in counts:
+        total = total * c
+    every = F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = layouts.select("ordinal", "shape", "chunk_shape", F.explode(every).alias("__chunk"))
+    return rows.select("ordinal", "shape", "chunk_shape", *coordinates(unravel(F.col("__chunk"), counts)))
 
-    The domain is generated axis by axis, a row at a time, and joined on dataset and index.
-    """
-    domain = ordinals
-    for n, s, k in zip(names, start, size):
-        domain = domain.select("*", axis_domain(n, s, k))
-    domain = domain.select("ordinal", *names)
-    return domain.join(cells, ["ordinal", *names], "left").select("ordinal", *names, F.coalesce("value", unwritten).alias("value"))
+
+def complete(chunks: DataFrame, wanted: DataFrame, names: list[str], unwritten: Column) -> DataFrame:
+    """Every cell (ordinal, names, value) of the chunks that ``wanted`` (as ``grid`` gives them) lists; cells nobody wrote
+    read as ``unwritten``. Stored chunks meet the list by their coordinates, a row a chunk; cells come after that."""
+    rank = len(names)
+    keys = ["ordinal", *(f"c{k}" for k in range(min(rank, AXES))), *(["cx"] if rank > AXES else [])]
+    kind = chunks.schema["values"].dataType
+    shape, chunk = ([F.element_at(c, k + 1) for k in range(rank)] for c in ("shape", "chunk_shape"))
+    size = F.lit(1).cast("long")
+    for s in extent([coordinate(k) for k in range(rank)], shape, chunk):
+        size = size * s
+    met = wanted.join(chunks.select(*keys, "values"), keys, "left")
+    nothing = F.array_repeat(F.lit(None).cast(kind.elementType), size.cast("int"))
+    cells = unpack(met.withColumn("values", F.coalesce("values", nothing)), names, shape, chunk)
+    return cells.withColumn("value", F.coalesce("value", unwritten))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import model
 from ..functions import conversions
 from ..functions.ndindex import element_count
 from ..operators import attributes, catalogue, hyperslab, statistics
@@ -223,26 +224,17 @@ def interned_schemas(spark, sf):
 
 @query(f"SELECT ordinal, i AS i0, value FROM {_EVENTS} WHERE i BETWEEN 20 AND 69")
 def read_window_1d(spark, sf):
-    c = events(spark, sf, chunk=[64])
-    rows = c.chunks["f"].where((F.col("c0") >= 20 // 64) & (F.col("c0") <= 69 // 64)).join(c.layouts.select("ordinal", "shape"), "ordinal")
-    return hyperslab.unpack(rows, ["i0"], [F.element_at("shape", 1)], [64]).where(F.col("i0").between(20, 69))
+    return events(spark, sf, chunk=[64]).read_window("value", [20], [50], "float64")
 
 
 @query(f"SELECT ordinal, i AS i0, CAST(j AS BIGINT) AS i1, v AS value FROM {_CELLS} WHERE i BETWEEN 3 AND 7 AND j BETWEEN 10 AND 19")
 def read_window_2d(spark, sf):
-    c = vectors(spark, sf)
-    rows = c.chunks["g"].where("c0 = 0 AND c1 = 0").join(c.layouts.select("ordinal", "shape"), "ordinal")
-    cells = hyperslab.unpack(rows, ["i0", "i1"], [F.element_at("shape", 1), 64], [16, 24])
-    return cells.where(F.col("i0").between(3, 7) & F.col("i1").between(10, 19))
+    return vectors(spark, sf).read_window("embedding", [3, 10], [5, 10], "float32")
 
 
 @query(f"SELECT ordinal, max(value) AS peak, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY ordinal) AS size FROM {_EVENTS}) WHERE i >= size - 6 GROUP BY 1")
 def read_tail(spark, sf):
-    c = events(spark, sf, chunk=[64])
-    size = F.element_at("shape", 1)
-    rows = c.chunks["f"].join(c.layouts.select("ordinal", "shape"), "ordinal").where(F.col("c0") >= F.floor(F.greatest(size - 6, F.lit(0)) / 64))
-    cells = hyperslab.unpack(rows.withColumn("size", size), ["i0"], [F.col("size")], [64]).join(c.layouts.select("ordinal", size.alias("size")), "ordinal")
-    return cells.where(F.col("i0") >= F.col("size") - 6).groupBy("ordinal").agg(F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
+    return events(spark, sf, chunk=[64]).read_tail("value", 6).groupBy("ordinal").agg(F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT ordinal, i AS i0, v AS value FROM {_CELLS} WHERE j = 0")
@@ -253,14 +245,11 @@ def read_all_datasets(spark, sf):
     return cells.where("i1 = 0").select("ordinal", "i0", "value")
 
 
-@query(f"SELECT ordinal, i AS i0, CASE WHEN i % 2 = 0 THEN value ELSE -1.0 END AS value FROM {_EVENTS} WHERE i < 40")
+@query(f"SELECT ordinal, i AS i0, CASE WHEN i % 2 = 0 AND (i // 64) % 3 <> 1 THEN value ELSE -1.0 END AS value FROM {_EVENTS}")
 def read_with_fill(spark, sf):
-    """A window read: fill completion of the first 40 cells of each dataset is the feature, not of whole arrays."""
-    c = events(spark, sf, fill=-1.0, chunk=[16], written=F.col("i") % 2 == 0)
-    shaped = c.layouts.select("ordinal", F.least(F.element_at("shape", 1), F.lit(40)).alias("n"), F.element_at("shape", 1).alias("size"))
-    rows = c.chunks["f"].where("c0 <= 2").join(shaped, "ordinal")
-    cells = hyperslab.unpack(rows, ["i0"], [F.col("size")], [16])
-    return hyperslab.complete(cells, shaped, ["i0"], [0], [F.col("n")], F.lit(-1.0))
+    """Whole arrays of which every odd cell and every third chunk was never written."""
+    c = events(spark, sf, fill=-1.0, chunk=[64], written=(F.col("i") % 2 == 0) & (F.floor(F.col("i") / 64) % 3 != 1))
+    return c.read_complete("value", "float64")
 
 
 def _slabs(spark: SparkSession, sf: str, chunk: int) -> DataFrame:
@@ -378,9 +367,10 @@ def schema_view(spark, sf):
     return c.schemas().select("ordinal", F.posexplode("schema.arrays").alias("position", "a")).select("ordinal", "position", F.col("a.name").alias("array"), F.col("a.dtype").alias("dtype"))
 
 
-@query(f"SELECT ordinal, CAST(0 AS INTEGER) AS schema_id FROM {_PRIORITIES}")
+@query("SELECT CAST(dense_rank() OVER (ORDER BY large, p_type) - 1 AS INTEGER) AS ordinal, CAST(large AS INTEGER) AS schema_id FROM (SELECT DISTINCT p_type, p_size > 25 AS large FROM part)")
 def interned_schema_ids(spark, sf):
-    return catalogue.interned(_orders(spark, sf).schemas())
+    """Two schemas: small parts come first and hold integers, large ones doubles."""
+    return catalogue.interned(_parts(spark, sf).schemas())
 
 
 @query(f"SELECT name, \"array\" FROM {_PRIORITIES}, {_ARRAYS} WHERE is_coordinate")
@@ -403,9 +393,15 @@ def describe_dataset(spark, sf):
     return own.select("array", "dtype", "is_coordinate", element_count(F.col("shape")).alias("size"), "min_i", F.col("min_b").cast("string").alias("min_s"))
 
 
-@query("SELECT 'x' AS fault WHERE FALSE")
+@query(f"SELECT what || ' of unknown dataset ' || ordinal AS fault FROM {_PRIORITIES}, (VALUES ('layout'), ('attribute')) w(what) WHERE name = (SELECT max(o_orderpriority) FROM orders) UNION ALL SELECT 'statistics contradict array key ' || ordinal FROM {_PRIORITIES} UNION ALL SELECT 'mask of unknown dataset 77'")
 def validate_collection(spark, sf):
-    return _orders(spark, sf).validate()
+    """A collection with three faults: a dataset is missing, the row counts of one array are wrong, the mask names nobody."""
+    c = _orders(spark, sf)
+    last = c.datasets.agg(F.max("name")).first()[0]
+    c.datasets = c.datasets.where(F.col("name") != last)
+    c.stats = c.stats.withColumn("row_count", F.when(F.col("array") == "key", F.col("row_count") + 1).otherwise(F.col("row_count")))
+    c.mask = spark.createDataFrame([(77,)], "ordinal int")
+    return c.validate()
 
 
 @query("SELECT \"array\", CASE \"array\" WHEN 'key' THEN max(o_orderkey) WHEN 'customer' THEN max(o_custkey) WHEN 'day' THEN max(epoch_us(o_orderdate)) * 1000 END AS max_i, count(*) AS row_count FROM orders, (VALUES ('key'), ('customer'), ('day'), ('status')) a(\"array\") GROUP BY 1")
@@ -414,8 +410,12 @@ def info_array_stats(spark, sf):
     return statistics.final(catalogue.live(c.stats, c.mask)).select("array", "max_i", "row_count")
 
 
-@query("SELECT doc_id, len(string_split(text, ' ')) > 500 AS long, CASE WHEN len(string_split(text, ' ')) > 500 THEN 'json:[\"' || lang || '\"]' ELSE source END AS value FROM documents")
+@query("SELECT lang, source, source AS scalar, 'json:[\"' || lang || '\", ' || n || ']' AS list, lang AS back, 'string' AS dtype FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)")
 def attribute_encoding(spark, sf):
-    """Scalars stay as they are; lists become JSON text."""
-    long = F.size(F.split("text", " ")) > 500
-    return _read(spark, sf, "documents").select("doc_id", long.alias("long"), F.when(long, F.concat(F.lit("json:"), F.to_json(F.array("lang")))).otherwise(F.col("source")).alias("value"))
+    """Attributes of each pair of language and source, encoded for a file and decoded again: scalars stay, lists become JSON text."""
+    pairs = _read(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).collect()  # of attribute values, not of rows
+    rows = []
+    for r in pairs:
+        scalar, text = model.encode_attr(r.source), model.encode_attr([r.lang, r.n])
+        rows.append((r.lang, r.source, scalar, text, model.decode_attr(text)[0], model.infer_attr(text)[0]))
+    return spark.createDataFrame(rows, "lang string, source string, scalar string, list string, back string, dtype string")

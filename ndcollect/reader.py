@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,12 +11,12 @@ from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
 from .errors import ArrayNotFound, CorruptCollection, CorruptMask, DatasetNotFound, NotACollection, UnsupportedVersion
-from .functions.ndindex import chunk_count
+from .functions.ndindex import chunk_count, coordinate, coordinates, unravel, window_chunks
 from .log import LOGGER
 from .model import DTYPES, STORAGE, attr_value, zero
 from .operators import attributes, catalogue, hyperslab, statistics
@@ -196,6 +197,59 @@ class Collection:
             raise CorruptCollection(f"array {array} has different types in different datasets: {', '.join(sorted(kinds))}")
         return catalogue.live(self.chunks[columns.pop()].where(F.col("array") == array), self.mask)
 
+    def _holders(self, array: str, dtype: str | None) -> tuple[DataFrame, DataFrame, int, Column]:
+        """Chunks and layouts of the live datasets with an array, its rank, and what unwritten cells read as."""
+        own = self.layouts.where(F.col("array") == array)
+        kinds = own.agg(F.min("dtype").alias("low"), F.max("dtype").alias("high"), F.min(F.size("shape")).alias("rank"), F.max(F.size("shape")).alias("most")).first()
+        if kinds.low is None:
+            raise ArrayNotFound(array)
+        if kinds.low != kinds.high or kinds.rank != kinds.most or dtype not in (None, kinds.low):
+            raise CorruptCollection(f"array {array} is {kinds.low}{'' if kinds.low == kinds.high else ' and ' + kinds.high} of {kinds.rank} to {kinds.most} axes, not {dtype or 'one type'}")
+        column = DTYPES[kinds.low][0]
+        fill = F.coalesce(F.col(f"fill.{column}"), F.lit(zero(kinds.low)).cast(STORAGE[column])).alias("unwritten")
+        layouts = catalogue.live(own, self.mask).select("ordinal", "shape", "chunk_shape", fill)
+        chunks = self.chunks.get(column)
+        if chunks is None:
+            chunks = self.spark.createDataFrame([], tables.chunks(column))
+        return chunks.where(F.col("array") == array), layouts, kinds.rank, F.col("unwritten")
+
+    def read_window(self, array: str, start: list[int], shape: list[int], dtype: str | None = None) -> DataFrame:
+        """Written cells (ordinal, ``i0`` and on, value) of a window of every live dataset, in one scan.
+
+        The scan is bounded by literal chunk coordinates, from the largest and smallest chunks that any dataset has.
+        """
+        chunks, layouts, rank, _ = self._holders(array, dtype)
+        if len(start) != rank or len(shape) != rank or any(s < 0 or n < 0 for s, n in zip(start, shape)):
+            raise CorruptCollection(f"window {start} of {shape} doesn't fit {rank} axes")
+        names, sizes = [f"i{k}" for k in range(rank)], [F.element_at("chunk_shape", k + 1) for k in range(rank)]
+        most = layouts.agg(*(f(s).alias(f"{n}{k}") for k, s in enumerate(sizes) for n, f in (("low", F.min), ("high", F.max)))).first() if rank else None
+        for k, (s, n) in enumerate(zip(start, shape)):
+            if most is not None and most[f"low{k}"] is not None:
+                chunks = chunks.where(coordinate(k).between(F.lit(s // most[f"high{k}"]), F.lit(max(s + n - 1, 0) // most[f"low{k}"])))
+        rows = chunks.join(layouts.drop("unwritten"), "ordinal")
+        cells = hyperslab.unpack(rows, names, [F.element_at("shape", k + 1) for k in range(rank)], sizes).where("value IS NOT NULL")
+        for a, s, n in zip(names, start, shape):
+            cells = cells.where((F.col(a) >= s) & (F.col(a) < s + n))
+        return cells
+
+    def read_tail(self, array: str, n: int, dtype: str | None = None) -> DataFrame:
+        """Written cells of the last ``n`` places of the first axis of every live dataset. Chunks before them aren't scanned."""
+        chunks, layouts, rank, _ = self._holders(array, dtype)
+        first = F.greatest(F.element_at("shape", 1) - n, F.lit(0))
+        layouts = layouts.withColumn("first", first).withColumn("from_chunk", F.floor(first / F.element_at("chunk_shape", 1)))
+        least = layouts.agg(F.min("from_chunk")).first()[0] or 0
+        rows = chunks.where(F.col("c0") >= F.lit(least)).join(layouts.drop("unwritten"), "ordinal").where(F.col("c0") >= F.col("from_chunk"))
+        names = [f"i{k}" for k in range(rank)]
+        cells = hyperslab.unpack(rows, names, [F.element_at("shape", k + 1) for k in range(rank)], [F.element_at("chunk_shape", k + 1) for k in range(rank)]).where("value IS NOT NULL")
+        return cells.join(layouts.select("ordinal", "first"), "ordinal").where(F.col("i0") >= F.col("first")).drop("first")
+
+    def read_complete(self, array: str, dtype: str | None = None) -> DataFrame:
+        """Every cell of every live dataset; those nobody wrote have the dataset's fill, or zero."""
+        chunks, layouts, rank, unwritten = self._holders(array, dtype)
+        names = [f"i{k}" for k in range(rank)]
+        cells = hyperslab.complete(chunks, hyperslab.grid(layouts, rank), names, F.lit(None))
+        return cells.join(layouts.select("ordinal", unwritten), "ordinal").select("ordinal", *names, F.coalesce("value", "unwritten").alias("value"))
+
     # -- deletion --------------------------------------------------------------------------------------------
 
     def delete_datasets(self, names: list[str]) -> int:
@@ -342,15 +396,19 @@ class Dataset:
         names = [f"i{k}" for k in range(rank)]
         column = DTYPES[at["dtype"]][0]
         missing = at["fill_value"] if at["fill_value"] is not None else zero(at["dtype"])
-        unwritten = F.lit(missing).cast(STORAGE[column])
-        own = self.collection.spark.createDataFrame([(self.ordinal,)], tables.MASK)
+        low = [s // c for s, c in zip(start, at["chunk_shape"])]
+        counts = [(s + n - 1) // c - k + 1 if n else 0 for s, n, c, k in zip(start, size, at["chunk_shape"], low)]
+        spark = self.collection.spark
+        inner = unravel(F.col("id"), [F.lit(c).cast("long") for c in counts])
+        wanted = spark.range(math.prod(counts)).select(F.lit(self.ordinal).alias("ordinal"), *(F.array(*(F.lit(x).cast("long") for x in at[c])).cast("array<bigint>").alias(c) for c in ("shape", "chunk_shape")), *coordinates([i + k for i, k in zip(inner, low)]))
         rows = self.collection.chunks.get(column)
         if rows is None:
-            cells = self.collection.spark.createDataFrame([], f"ordinal int, {''.join(f'{n} long, ' for n in names)}value {STORAGE[column].simpleString()}")
-        else:
-            rows = rows.where((F.col("array") == array) & (F.col("ordinal") == self.ordinal))
-            cells = hyperslab.window(rows, names, at["shape"], at["chunk_shape"], start, size)
-        return hyperslab.complete(cells, own, names, start, size, unwritten).drop("ordinal")
+            rows = spark.createDataFrame([], tables.chunks(column))
+        rows = rows.where((F.col("array") == array) & (F.col("ordinal") == self.ordinal) & window_chunks(start, size, at["chunk_shape"]))
+        cells = hyperslab.complete(rows, wanted, names, F.lit(missing).cast(STORAGE[column]))
+        for n, s, k in zip(names, start, size):
+            cells = cells.where(F.col(n).between(s, s + k - 1))
+        return cells.drop("ordinal")
 
     def read_values(self, array: str, dtype: str | None = None, start: list[int] | None = None, shape: list[int] | None = None) -> list[Any]:
         """A window's values in row-major order, on the driver."""

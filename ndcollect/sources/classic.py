@@ -8,6 +8,7 @@ nanoseconds where their calendar is the real one, and to dates of their own cale
 from __future__ import annotations
 
 import datetime
+import math
 import mmap
 import re
 import struct
@@ -177,7 +178,8 @@ class ClassicFile:
         if dtype.kind == "S" and shape:  # characters: the last axis holds a text
             def text(key: tuple[slice, ...]) -> np.ndarray:
                 rows = load((*key, slice(0, shape[-1])))
-                flat = [b"".join(r).rstrip(b"\0").rstrip().decode("utf-8", "surrogateescape") for r in rows.reshape(-1, shape[-1])]
+                whole = np.ascontiguousarray(rows.reshape(-1, max(shape[-1], 1))).view(f"S{max(shape[-1], 1)}").ravel().tolist() if rows.size else [b""] * math.prod(rows.shape[:-1])
+                flat = [t.rstrip(b" \0").decode("utf-8", "surrogateescape") for t in whole]
                 out = np.empty(len(flat), object)
                 out[:] = flat
                 return out.reshape(rows.shape[:-1])

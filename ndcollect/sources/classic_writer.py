@@ -1,14 +1,22 @@
-"""Writes small NetCDF classic files, so that ingest is tested on real ones."""
+"""Writer of small NetCDF classic files, for exports, benches and tests."""
+
+from __future__ import annotations
 
 import struct
+from typing import Any
 
 import numpy as np
 
 TAGS = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "u1": 7, "u2": 8, "u4": 9, "i8": 10, "u8": 11}
 
 
-def write(path, dims, variables, attrs=(), version=1):
-    """``dims``: name -> size (None: the record dimension); ``variables``: name -> (dims, array, attributes)."""
+def write(path: Any, dims: dict[str, int | None], variables: dict[str, tuple], attrs: Any = (), version: int = 1) -> None:
+    with open(path, "wb") as f:
+        f.write(encode(dims, variables, attrs, version))
+
+
+def encode(dims: dict[str, int | None], variables: dict[str, tuple], attrs: Any = (), version: int = 1) -> bytes:
+    """A file's bytes. ``dims``: name -> size (None: the record dimension); ``variables``: name -> (dims, array, attributes)."""
     count = lambda n: struct.pack(">q" if version == 5 else ">i", n)
     pad = lambda b: b + b"\0" * (-len(b) % 4)
     name = lambda s: count(len(s.encode())) + pad(s.encode())
@@ -56,5 +64,4 @@ def write(path, dims, variables, attrs=(), version=1):
         for n in growing:
             raw = arrays[n][1][r : r + 1].tobytes()
             data += raw if len(growing) == 1 else pad(raw)
-    with open(path, "wb") as f:
-        f.write(data)
+    return data

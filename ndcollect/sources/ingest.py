@@ -16,13 +16,17 @@ from ..operators import hyperslab, statistics
 from ..reader import Collection
 
 
+CHUNK_CELLS = 1 << 20
+
+
 @dataclass
 class ArraySpec:
     """One array: the column of its values, the axes it runs over, and how it is stored.
 
     ``axes`` maps dimension names to index columns (long, from 0). ``written`` marks rows whose cell is written;
     other rows only contribute to the shape. ``shape`` fixes the sizes instead of deriving them. An axis without
-    an index column is as long as the dataset has rows; such an array has statistics but no chunks.
+    an index column is as long as the dataset has rows; such an array has statistics but no chunks. Without ``chunk``
+    an array is cut along its first axis into chunks of about ``CHUNK_CELLS`` cells.
     """
 
     value: str | Column | None
@@ -45,8 +49,8 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
     """A collection of ``df``'s rows, one dataset for each value of the column ``dataset``.
 
     ``attributes`` maps keys to (type, aggregate over a dataset's rows); a null result leaves the attribute out.
-    Nothing is computed here: statistics are a partial aggregate of the cells, chunks a grouping by chunk
-    coordinates, and whoever reads one of them runs only that.
+    Only the distinct names are computed here, to see whether they are few enough to broadcast. Statistics are a
+    partial aggregate of the cells, chunks a grouping by chunk coordinates, and whoever reads one of them runs only that.
     """
     spark = df.sparkSession
     rows = df.withColumn("name", F.col(dataset).cast("string")).where("name IS NOT NULL")
@@ -70,7 +74,10 @@ def from_dataframe(df: DataFrame, dataset: str, arrays: dict[str, ArraySpec], at
         indexed = None not in spec.axes.values()
         shape = rows.groupBy("ordinal").agg(F.array(*sizes).cast("array<bigint>").alias("shape"))
         whole = F.transform("shape", lambda s: F.greatest(s, F.lit(1).cast("long")))
-        chunk = whole if spec.chunk is None else F.zip_with(whole, F.array(*(F.lit(c).cast("long") for c in spec.chunk)), lambda a, b: F.least(a, b))
+        rest = F.aggregate(F.slice(whole, F.lit(2), F.size(whole)), F.lit(1).cast("long"), lambda n, s: n * s)
+        rows_of_chunk = F.greatest(F.floor(F.lit(CHUNK_CELLS) / rest), F.lit(1).cast("long"))  # of the first axis
+        leading = F.transform(whole, lambda s, k: F.when(k == 0, F.least(s, rows_of_chunk)).otherwise(s))
+        chunk = leading if spec.chunk is None else F.zip_with(whole, F.array(*(F.lit(c).cast("long") for c in spec.chunk)), lambda a, b: F.least(a, b))
         stored = F.struct(*(F.lit(fill if k == column else None).cast(t).alias(k) for k, t in STORAGE.items()))
         own = shape.select(
             "ordinal", F.lit(position).cast("int").alias("position"), F.lit(name).alias("array"), F.lit(dtype).alias("dtype"), F.array(*map(F.lit, names)).cast("array<string>").alias("dims"), "shape", chunk.alias("chunk_shape"),

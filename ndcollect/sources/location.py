@@ -81,14 +81,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _put(fs: Any, p: Any, text: str) -> None:
+def _put(fs: Any, p: Any, data: bytes) -> None:
     stream = fs.create(p, True)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    p, fs = _fs(spark, path)
+    _put(fs, p, data)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file; at every moment readers see the old one or the new one, whole.
 
@@ -97,10 +102,10 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     """
     p, fs = _fs(spark, path)
     if fs.getScheme() not in _RENAMING:
-        _put(fs, p, text)
+        _put(fs, p, text.encode("utf-8"))
         return
     part, _ = _fs(spark, f"{path}.part")
-    _put(fs, part, text)
+    _put(fs, part, text.encode("utf-8"))
     jvm = spark._jvm
     over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
     over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE

@@ -38,7 +38,8 @@ from .classic import ClassicFile, julian_day
 SUFFIXES = (".nc", ".nc4", ".cdf", ".netcdf")
 TIMEDELTA_MARK = "_timedelta"
 WHOLE = 4  # a file is opened whole if so many times its size fit the budget
-WAVE = 16  # files a task takes in one wave
+WAVE = 64  # files a task takes in one wave
+HELD = 8 << 20  # bytes of blocks that a task gathers before it hands them on
 
 
 def find_files(spark: SparkSession, directory: Any, recursive: bool = True) -> list[tuple[str, int]]:
@@ -285,22 +286,26 @@ def _ingest(options: dict[str, Any]):
         return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for files in batches:
             for f in files.to_pylist():
-                name, small = dataset_name(f["path"]), []
+                name, told = dataset_name(f["path"]), []
                 try:
                     with warnings.catch_warnings(record=True) as told, _open(f["path"], f.get("content"), options) as ds:
                         warnings.simplefilter("always")
                         for row in convert(f["ordinal"], name, ds, options, f["size"]):
-                            if row["tag"].startswith("chunk"):
-                                yield batch([row])
-                            else:
-                                small.append(row)
-                    small += [{"tag": "warning", "ordinal": f["ordinal"], "note": f"{name}: {w.message}"} for w in told]
-                    small.append({"tag": "dataset", "ordinal": f["ordinal"], "note": name})
+                            held.append(row)
+                            values = row.get("v_" + row["tag"][6:]) if row["tag"].startswith("chunk_") else ()
+                            size += getattr(values, "nbytes", 64 * len(values)) + 100
+                            if size > HELD:
+                                yield batch(held)
+                                held, size = [], 0
+                    held.append({"tag": "dataset", "ordinal": f["ordinal"], "note": name})
                 except Exception as e:  # noqa: BLE001 - what a file can't be read for is for the driver to judge
-                    small = [{"tag": "error", "ordinal": f["ordinal"], "note": f"{type(e).__name__}: {e}"}]
-                yield batch(small)
+                    held.append({"tag": "error", "ordinal": f["ordinal"], "note": f"{type(e).__name__}: {e}"})
+                held += [{"tag": "warning", "ordinal": f["ordinal"], "note": f"{name}: {w.message}"} for w in told]
+        if held:
+            yield batch(held)
 
     return run
 

@@ -7,6 +7,8 @@ import json
 import threading
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -63,15 +65,18 @@ def _version_of(spark: SparkSession, path: str) -> str | None:
 
 
 def _write_tables(collection: Collection, path: str, codec: str, block_bytes: int) -> None:
+    writes: list[Callable[[], None]] = []
     option = lambda w: w.mode("overwrite").option("compression", CODECS[codec]).option("parquet.block.size", str(max(block_bytes, 1 << 16)))
     for name, schema in (("datasets", tables.DATASETS), ("layouts", tables.LAYOUTS), ("attrs", tables.ATTRS), ("stats", tables.STATS)):
         rows = getattr(collection, name)
-        option(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write).parquet(f"{path}/{name}")
+        writes.append(lambda rows=rows, name=name, schema=schema: option(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write).parquet(f"{path}/{name}"))
     for column, rows in collection.chunks.items():
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in tables.chunks(column)))
         place = ["array", "ordinal", *(f"c{k}" for k in range(tables.AXES))]
         rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)  # by range, so one large dataset is many tasks
-        option(rows.write).partitionBy("array").parquet(f"{path}/chunks/{column}")
+        writes.append(lambda rows=rows, column=column: option(rows.write).partitionBy("array").parquet(f"{path}/chunks/{column}"))
+    with ThreadPoolExecutor(len(writes)) as pool:  # independent jobs; small ones needn't wait for each other
+        list(pool.map(lambda write: write(), writes))
 
 
 @dataclass

@@ -1,4 +1,7 @@
+import pytest
+
 import __spark_entry__ as entry
+from ndcollect.plans import queries, stored
 
 
 def test_entry_and_queries(spark):
@@ -16,3 +19,21 @@ def test_slabs_are_assembled_over_all_events(spark):
         expected += [(ordinal, i, -v if i >= 10 else v) for i, v in enumerate(values)]
     got = {q: sorted(map(tuple, entry.queries()[q](spark, sf).select("ordinal", "i0", "value").collect())) for q in ("slab_assembly_whole", "slab_assembly")}
     assert len(expected) == len(rows) > 150 and got["slab_assembly_whole"] == expected and got["slab_assembly"] == [x for x in expected if x[1] < 30]
+
+
+@pytest.mark.parametrize("name", ["stored_window_1d", "stored_fill", "stored_over_itself", "stored_delete", "operation_info", "command_line", "netcdf_ingest", "writer_values", "validate_collection"])
+def test_stored_collections_against_sql(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("events", "nation", "region", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = entry.queries()[name](spark, sf)
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and want
+
+
+def test_stored_windows_are_pruned(spark, capsys):
+    stored.stored(spark, queries.events(spark, "/root/testdata/sf0.001", chunk=[16]), "pruned").read_window("value", [40], [8]).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters" in plan and "GreaterThanOrEqual(c0,2)" in plan and "LessThanOrEqual(c0,2)" in plan

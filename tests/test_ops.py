@@ -3,7 +3,7 @@ import math
 import pathlib
 import types
 
-import classic_writer
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ndcollect import Collection, CollectionError, log, ops
 from ndcollect.cli import Encoder, human_bytes, main, show_value
 from ndcollect.errors import SourceError, UnsupportedType
 from ndcollect.functions import conversions
-from ndcollect.sources import location, netcdf
+from ndcollect.sources import classic_writer, location, netcdf
 
 
 class Var:

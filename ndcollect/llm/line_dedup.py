@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, text_of
 
 WINDOW = 2
-DIVISOR = 4
+DIVISOR = 16
 BASE = 1_000_003
 MODULUS = (1 << 31) - 1
 _DOC, _HASH = ("doc_id", "text_key"), ["h", "g"]

@@ -107,7 +107,7 @@ _OP2 = """
 WITH h AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 c AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l)
-             OR (((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 1000003 + h[i]) % 2147483647) % 4 <> 0) AS e FROM h),
+             OR (((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 1000003 + h[i]) % 2147483647) % 16 <> 0) AS e FROM h),
 p AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS place FROM c),
 t AS (SELECT doc_id, place, (CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) AS start,
              l[(CASE WHEN place > 1 THEN e[place - 1] ELSE 0 END) + 1 : e[place]] AS chunk FROM p),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: list[str] = []
+_written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,7 +39,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/ndcollect/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing that is still to be computed reads it."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what is written inside, but for the tables that are put on the list that it gives."""
+    before, keep = len(_written), []
+    yield keep
+    kept = {t.written_to for t in keep}
+    for path in _written[before:]:
+        if path not in kept:
+            _delete(spark, path)
+    del _written[before:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fewer(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ndcollect.llm import decontam, exact_dedup, jaccard, langid, sentencepiece_bridge
-from ndcollect.llm.common import materialize, table
+from ndcollect.llm.common import discard, materialize, scratch, table
 from ndcollect.llm.queries import TOKENIZER
 
 
@@ -49,5 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark) as keep:  # a stage's own tables go once its output is written
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
+        if hasattr(before, "written_to"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,11 +34,11 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _own_root[0]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/ndcollect/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

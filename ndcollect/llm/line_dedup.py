@@ -96,7 +96,7 @@ def removed(docs: DataFrame) -> DataFrame:
     wanted = wanted.groupBy(*_DOC).agg(F.collect_set(F.struct("place", "is_first")).alias("places"))
     sides = lambda p: F.struct(p.is_first.alias("is_first"), _start(p.place).alias("start"), *(_chunk(p.place + k).alias(n) for k, n in ((-1, "before"), (0, "chunk"), (1, "after"))))
     pieces = _on(_lines(docs), wanted, "inner").select(*_DOC, F.explode(F.transform("places", sides)).alias("p")).select(*_DOC, "p.*")  # an array first: exploding places would copy the document for each
-    pieces = materialize(pieces.select("*", *_hashes(F.array_join("chunk", "\n"))), "lines-pieces")
+    pieces = materialize(pieces.select("*", *_hashes(F.array_join("chunk", "\n"))), "lines-pieces", "zstd")  # texts thrice
     release(docs.sparkSession)
     first = materialize(pieces.where("is_first").groupBy(*_HASH).agg(F.first(F.struct("before", "chunk", "after")).alias("f")), "lines-first")
     again = pieces.where("NOT is_first").join(first.hint("merge"), _HASH).where(F.col("chunk") == F.col("f.chunk"))

@@ -38,13 +38,27 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/ndcollect/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", codec).parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Executions planned inside delete their shuffle files as soon as they end: their result is a written table,
+    so nothing reads those files again. The session's own setting is back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing that is still to be computed reads it."""
     for t in tables:
@@ -76,12 +90,6 @@ def fewer(df: DataFrame) -> DataFrame:
     return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver's heap next fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def modest_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts are long rows: unless the session says otherwise, few of them go to a Python worker at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, materialize, mix64, release, text_bytes, text_of
+from .common import by_bytes, materialize, mix64, text_bytes, text_of
 
 DEPTH = 5
 STOP = 3  # from this depth on, trees are weighed by part; what is above is small
@@ -416,15 +416,12 @@ def score(docs: DataFrame, learn: Column, *, block_bytes: int = 12 << 20, most_p
     parts = _SPLIT * max(2, min(-(-blocks // _SPLIT), most_parts // _SPLIT))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     requests = materialize(dealt.groupBy("block").applyInArrow(_request(parts), _REQUEST), "ctw-requests")
-    release(spark)
     words, grams = (requests.where(F.col("kind") == k) for k in (_WORD, _GRAM))
     totals = materialize(_summed(words, blocks).groupBy("part").applyInArrow(_count_words, _TOTALS), "ctw-words")
     tokens, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     trees = materialize(_summed(grams, blocks).groupBy("part").applyInArrow(_weigh_part, _TREES), "ctw-trees")
-    release(spark)
     roots = spark.sparkContext.broadcast(_collect_roots(trees))
     answers = materialize(_by_group(trees.select("part", "keys", "mixed"), grams, blocks, _answer(roots)), "ctw-answers")
-    release(spark)
     answers = answers.unionByName(_by_group(totals, words, blocks, _answer_words))
     schema = T.StructType([docs.schema["doc_id"], *SCORES.fields[1:]])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(tokens, distinct), schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fewer, materialize, merged, mix64, modest_batches, release, text_of, tidy
+from .common import fewer, materialize, merged, mix64, modest_batches, text_of, tidy
 from .exact_dedup import without
 
 GRAM = 5
@@ -248,7 +248,6 @@ def candidates(nodes: DataFrame, *, threshold: float, recall: float, bucket: int
         met = _blocked(near, "n", "key", max(1, bucket // 2)).select("key", "cell", "node", "sketch")
         found = met.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare(threshold - slack), "node long, to long")
         edges = found if edges is None else edges.unionByName(found)
-        release(spark)
         if level < depth:
             large = live.where(F.col("n") > bucket)
             if large.isEmpty():
@@ -367,7 +366,6 @@ def classes(docs: DataFrame, *, threshold: tuple[int, int] = (4, 5), recall: flo
     texts = _texts(docs).join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     texts = texts.select("text", "node", "label", "n", "weight")
     sets = materialize(texts.mapInArrow(_sets, "node long, label long, n long, weight long, grams binary").dropDuplicates(["node"]), "jaccard-sets")
-    release(docs.sparkSession)
     half = max(1, bucket // 2)
     met = _blocked(sets, "n", "label", half).select("label", "cell", "block", "node", "weight", (F.col("n") <= 2 * half).alias("whole"), "grams")
     verified = met.repartition("label", "cell").sortWithinPartitions("label", "cell").mapInArrow(_verify(threshold), "node long, to long, links long, whole boolean")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, text_of
+from .common import discard, materialize, text_of
 
 WINDOW = 2
 DIVISOR = 16
@@ -90,14 +90,12 @@ def removed(docs: DataFrame) -> DataFrame:
     own = F.struct(*_DOC, "place")
     often = materialize(chunks.groupBy(*_HASH).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")).where("n > 1").select(*_HASH, "first"), "lines-often")
     later = materialize(chunks.join(often.hint("merge"), _HASH).where(~own.eqNullSafe(F.col("first"))).select(*_DOC, "place", *_HASH, "first"), "lines-later")
-    release(docs.sparkSession)
     firsts = later.groupBy(*_HASH).agg(F.first("first").alias("f")).select("f.*", F.lit(True).alias("is_first"))
     wanted = later.select(*_DOC, "place", F.lit(False).alias("is_first")).unionByName(firsts)
     wanted = wanted.groupBy(*_DOC).agg(F.collect_set(F.struct("place", "is_first")).alias("places"))
     sides = lambda p: F.struct(p.is_first.alias("is_first"), _start(p.place).alias("start"), *(_chunk(p.place + k).alias(n) for k, n in ((-1, "before"), (0, "chunk"), (1, "after"))))
     pieces = _on(_lines(docs), wanted, "inner").select(*_DOC, F.explode(F.transform("places", sides)).alias("p")).select(*_DOC, "p.*")  # an array first: exploding places would copy the document for each
     pieces = materialize(pieces.select("*", *_hashes(F.array_join("chunk", "\n"))), "lines-pieces", "zstd")  # texts thrice
-    release(docs.sparkSession)
     first = materialize(pieces.where("is_first").groupBy(*_HASH).agg(F.first(F.struct("before", "chunk", "after")).alias("f")), "lines-first")
     again = pieces.where("NOT is_first").join(first.hint("merge"), _HASH).where(F.col("chunk") == F.col("f.chunk"))
     up, down = _alike(F.reverse("before"), F.reverse(F.col("f.before"))), _alike(F.col("after"), F.col("f.after"))
@@ -107,7 +105,6 @@ def removed(docs: DataFrame) -> DataFrame:
     out = again.groupBy(*_DOC).agg(F.collect_set(F.struct("a", (F.col("a") + F.size("run") - 1).alias("b"))).alias("ranges"))
     out = materialize(out, "lines-removed")
     discard(often, later, pieces, first)
-    release(docs.sparkSession)
     return out
 
 

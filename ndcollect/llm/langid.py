@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One 5-gram character model per language, all held in sorted arrays of packed 12-bit character codes: a row
+One 5-gram character model per language, all held in sorted arrays of packed 12-bit symbols (a letter is one of
+them, or two where its code point is 3,072 or more, so no two letters are confused): a row
 of the table has the log probability of that n-gram under every language, so one binary search serves them
 all. The language of lowest length-normalised cross-entropy wins. Models learn from a bounded sample of
 labelled rows (``sample_docs`` per language, chosen by a hash of the id; whole texts). A fifth of the sample
@@ -34,33 +35,41 @@ from .common import id_mod, materialize, merged, modest_batches, text_of
 ORDER = 5
 BITS = 12
 SLICE = 512 << 10  # bytes of text worked on at once
-_DIRECT = 3072
+_DIRECT = 3072  # letters below are one symbol, the others two
+_LOW = 512
 SYMBOLS = 1 << BITS
 _tables: list[np.ndarray] = []
 
 
-def _fold() -> np.ndarray:
-    """By code point: 0 for what isn't a letter or mark, else the code of the lower-case letter."""
+def _fold() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: 0 for what isn't a letter or mark, else the code of the lower-case letter; the second code of
+    letters that need two; whether it is a letter. Letters from ``_DIRECT`` on are numbered in order: one code has
+    the number's high part, another its low part, from ranges of their own, so no two letters share their codes."""
     if not _tables:
-        out = np.zeros(sys.maxunicode + 1, np.uint16)
-        for i in range(sys.maxunicode + 1):
-            c = chr(i)
-            if unicodedata.category(c)[0] in "LM":
-                low = ord(c.lower()[0])
-                out[i] = low if 0 < low < _DIRECT else _DIRECT + low % (SYMBOLS - _DIRECT)
-        letter = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-        _tables.extend((out, letter))
-    return _tables[0]
+        kinds = [unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1)]
+        low = np.fromiter((ord(chr(i).lower()[0]) if k in "LM" else 0 for i, k in enumerate(kinds)), np.int64, len(kinds))
+        wide = np.unique(low[low >= _DIRECT])
+        assert len(wide) <= _LOW * (SYMBOLS - _DIRECT - _LOW)
+        number = np.searchsorted(wide, low)
+        two = low >= _DIRECT
+        first = np.where(two, _DIRECT + _LOW + number // _LOW, low).astype(np.uint16)
+        second = np.where(two, _DIRECT + number % _LOW, 0).astype(np.uint16)
+        _tables.extend((first, second, np.fromiter((k == "L" for k in kinds), bool, len(kinds))))
+    return tuple(_tables)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed 5-grams, the first of each text, and whether it has a letter. Runs of other characters are one 0."""
-    fold = _fold()
+    fold, second, letter = _fold()
     points = np.frombuffer(("\0" + "\0".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     starts = np.cumsum(size) - size
     x = fold[points]
-    letters = np.add.reduceat(_tables[1][points], starts) > 0
+    letters = np.add.reduceat(letter[points], starts) > 0
+    wide = np.flatnonzero(x >= _DIRECT + _LOW)
+    if len(wide):
+        starts = starts + np.searchsorted(wide, starts)
+        x = np.insert(x, wide + 1, second[points[wide]])
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
     keep[starts] = True

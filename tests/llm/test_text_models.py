@@ -96,12 +96,12 @@ def brute_kneser_ney(texts, order=5):
 
 def test_kneser_ney_against_dictionaries():
     rng = random.Random(9)
-    learned = [sentence(rng, "aa", 6) for _ in range(12)]
-    asked = [learned[0], sentence(rng, "aa", 4), sentence(rng, "cc", 3), "a", "Ba-ba 7 ko"]
+    learned = [sentence(rng, "aa", 6) for _ in range(12)] + ["日本語の文 ひらがな", "漢字 日本 a 文"]
+    asked = [learned[0], sentence(rng, "aa", 4), sentence(rng, "cc", 3), "a", "Ba-ba 7 ko", "日本a 語-文", "中"]
 
     def codes(t):  # runs of anything but letters are one 0
-        fold, out = langid._fold(), [0]
-        for x in (int(fold[ord(c)]) for c in t):
+        (fold, second, _), out = langid._fold(), [0]
+        for x in (int(x) for c in t for x in (fold[ord(c)], second[ord(c)])[: 1 + (second[ord(c)] > 0)]):
             if x or out[-1]:
                 out.append(x)
         return out
@@ -117,6 +117,13 @@ def test_kneser_ney_against_dictionaries():
         assert m == len(c) - 1 and got == pytest.approx(want / m, rel=1e-4)
 
 
+def test_no_two_letters_share_their_symbols():
+    first, second, letter = langid._fold()
+    low = np.array([ord(chr(i).lower()[0]) for i in np.flatnonzero(letter)])
+    codes = first[letter].astype(np.int64) << 16 | second[letter]
+    assert len(np.unique(codes)) == len(np.unique(low)) and first.max() < langid.SYMBOLS
+
+
 def kt(n0, n1):
     return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with the tokenizers library as backend.
 
 The model file is parsed here (protobuf wire format, only the fields that encoding needs) and rebuilt: the
-compiled normaliser map, the dummy prefix and white-space rules, the metaspace marker, unigram scores or BPE
-merges (a merge for every split of a piece into two pieces, by the piece's score), byte fallback and the
-decoder. Batches are encoded with the library's threads. Every row of ``encode`` is verified: the decoded
+compiled normaliser map (read here, as the library's own reader goes by grapheme clusters and so differs from
+SentencePiece), the dummy prefix and white-space rules, the metaspace marker, unigram scores or BPE merges (a
+merge for every split of a piece into two pieces, by the piece's score), user-defined pieces, byte fallback and
+the decoder. Batches are encoded with the library's threads. Every row of ``encode`` is verified: the decoded
 ids must give the normalised text again, and the SentencePiece library itself must give the same ids (``parity``).
 
 Where no piece has a metaspace after another character, no merge crosses the start of a word: words are then
@@ -11,7 +12,8 @@ encoded apart, which changes nothing in the result, and a word that comes again
 verifications are then done for each distinct word when it is first met, and for a stated share of rows on the
 whole text as well; for other models, on every row's whole text.
 
-Defined cases: a null or empty text has no ids; lone surrogates are replaced as the decoder of UTF-8 would;
+Defined cases: a null or empty text has no ids; without byte fallback an unknown character decodes to the unknown
+piece's name and ``round_trip`` is false; lone surrogates are replaced as the decoder of UTF-8 would;
 extra columns are ignored by ``encode``.
 """
 
@@ -131,35 +133,93 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [pair for _, pair in found]
 
 
+def charsmap_keys(charsmap: bytes) -> dict[str, str]:
+    """All keys of a compiled normaliser map and what they become. The map is a trie in a double array of 32-bit
+    units (its size in bytes comes first), then the null-terminated results that the trie's values are offsets of."""
+    size = struct.unpack("<I", charsmap[:4])[0]
+    units, results = np.frombuffer(charsmap, "<u4", size // 4, 4).astype(np.int64), charsmap[4 + size :]
+    below = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    label = units & 0x800000FF
+    found, todo, every = {}, [(b"", int(below(units[0])))], np.arange(1, 256)
+    while todo:
+        prefix, node = todo.pop()
+        at = node ^ every
+        at = at[at < len(units)]
+        for child in at[label[at] == (at ^ node)].tolist():
+            unit, key = int(units[child]), prefix + bytes([child ^ node])
+            onward = child ^ below(unit)
+            if unit >> 8 & 1:
+                start = int(units[onward]) & 0x7FFFFFFF
+                found[key] = results[start : results.index(b"\0", start)]
+            todo.append((key, onward))
+    return {k.decode("utf-8"): v.decode("utf-8") for k, v in found.items()}
+
+
+class Normaliser:
+    """A model's normalisation: from left to right the longest key of the compiled map is replaced, user-defined
+    pieces stay as they are; then white space is collapsed, the prefix put before and spaces become the marker."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.keys = charsmap_keys(model.charsmap) if model.charsmap else {}
+        own = sorted((p for p, _, kind in model.pieces if kind == USER_DEFINED and p), key=len, reverse=True)
+        self.longest = max(map(len, self.keys), default=0)
+        members = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
+        alone = {k for k in self.keys if len(k) == 1}
+        longer = [k for k in self.keys if len(k) > 1]
+        steps = [f"({'|'.join(map(re.escape, own))})"] if own else []
+        steps += [members(alone)] if alone else []
+        steps += [members({k[0] for k in longer}) + f"(?={members({k[1] for k in longer})})"] if longer else []
+        self.step = re.compile("|".join(steps)) if steps else None
+        self.own = bool(own)
+
+    def _mapped(self, text: str) -> str:
+        out, at = [], 0
+        while found := self.step.search(text, at):
+            start = found.start()
+            out.append(text[at:start])
+            if self.own and found[1]:
+                out.append(found[1])
+                at = found.end()
+                continue
+            for n in range(min(self.longest, len(text) - start), 0, -1):
+                if (key := text[start : start + n]) in self.keys:
+                    out.append(self.keys[key])
+                    break
+            else:
+                out.append(text[start])
+            at = start + n
+        return "".join(out) + text[at:]
+
+    def __call__(self, text: str) -> str:
+        m = self.model
+        text = self._mapped(text) if self.step else text
+        if m.remove_extra_whitespaces:
+            text = re.sub(" {2,}", " ", text.lstrip(" "))
+        if not text:
+            return ""
+        text = " " * m.dummy_prefix + text
+        text = text.replace(" ", META) if m.escape_whitespaces else text
+        return text.rstrip(META if m.escape_whitespaces else " ") if m.remove_extra_whitespaces else text
+
+
 def backend(model: Model):
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+    """The model in the tokenizers library, for texts that are normalised already."""
+    from tokenizers import AddedToken, Tokenizer, decoders, models
 
     if model.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback)
     else:
         core = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
     out = Tokenizer(core)
-    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
-    if model.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    if model.dummy_prefix:
-        steps.append(normalizers.Prepend(META if model.escape_whitespaces else " "))
-    if model.escape_whitespaces:
-        steps.append(normalizers.Replace(" ", META))
-    out.normalizer = normalizers.Sequence(steps)
     own = [AddedToken(p, normalized=False, special=False) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if own:
         out.add_tokens(own)
-    out.decoder = decoders.Sequence([decoders.Replace(META, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    strip = [decoders.Strip(" ", 1 << 30 if model.remove_extra_whitespaces else 1, 0)] if model.dummy_prefix or model.remove_extra_whitespaces else []
+    out.decoder = decoders.Sequence([decoders.Replace(META, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return out
 
 
-def expected(model: Model, tokenizer, text: str) -> str:
-    """What decoding must give: the normalised text without the marker and the prefix."""
-    text = tokenizer.normalizer.normalize_str(text).replace(META, " ")
-    return text[1:] if model.dummy_prefix and text.startswith(" ") else text
-
-
 _WORD = re.compile(" +[^ ]*|[^ ]+")
 MOST_WORDS = 250_000  # looked-up words in each half of what a task keeps; beyond, the older half goes
 
@@ -185,6 +245,7 @@ class Codec:
 
         self.model = parse(data)
         self.tokenizer = backend(self.model)
+        self.normaliser = Normaliser(self.model)
         self.data = data
         self._reference = None
         m = self.model
@@ -196,7 +257,6 @@ class Codec:
         self._older: dict[str, bytes] = {}
         if self.by_word:
             self._bare = backend(m)
-            self._bare.normalizer = None
             self._bare.decoder = decoders.Sequence([decoders.Replace(META, " "), decoders.ByteFallback(), decoders.Fuse()])
             self._astray: set[str] = set()  # words that their ids don't give again
             self._differ: set[str] = set()  # words whose ids aren't the SentencePiece library's
@@ -232,7 +292,7 @@ class Codec:
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.by_word:
-            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+            got = self.tokenizer.encode_batch_fast(list(map(self.normaliser, texts)), add_special_tokens=False) if texts else []
             return [_packed(e.ids) for e in got]
         parts = [self._split(t) for t in texts]
         if len(self._words) > MOST_WORDS:
@@ -259,7 +319,11 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def normalised(self, text: str) -> str:
-        return text.replace(META, " ") if self.identity else expected(self.model, self.tokenizer, text)
+        """What decoding must give: the normalised text without the marker and the prefix."""
+        if self.identity:
+            return text.replace(META, " ")
+        text = self.normaliser(text).replace(META, " ")
+        return text.lstrip(" ") if self.model.remove_extra_whitespaces else text[1:] if self.model.dummy_prefix else text
 
     def _library(self):
         if self._reference is None:

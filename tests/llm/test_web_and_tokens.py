@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import html.parser
+import itertools
 import random
 
 import pytest
@@ -331,3 +332,37 @@ def test_a_unigram_model_with_byte_fallback():
     reference = sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["ab abc", "a b c", "abab é", "", "ccc"]
     assert codec.encode(texts) == [reference.encode(t) for t in texts] and codec.decode(codec.encode(texts)) == texts
+
+
+PIECES = [("▁", -3.0), ("▁a", -2.0), ("b", -2.5), ("ab", -4.0), ("▁ab", -2.2), ("c", -3.5), ("a", -3.0), ("f", -3.1), ("fi", -3.3), ("i", -3.2), ("é", -4.0), ("1", -3.0), ("▁▁", -6.0)]
+SPELLINGS = ["ab abc", "abab é", "", "ccc", " ", "  a  b ", "a  ", "ﬁ ﬁfi", "Ａｂ　ｃ", "é ½ ①", "a\tb\nc", "a b\u200bc", "日本 😀 x", "ab<x>c <x> a", "a\0b", "▁a b▁", "ﬁ\u0301", "e\u0301 a\u0301\u0302", " " * 30 + "z", "ABC É ß İ", "\0", "half ﬁ " * 2000]
+
+
+@pytest.mark.parametrize("kind", [sentencepiece_bridge.UNIGRAM, sentencepiece_bridge.BPE])
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc", "nmt_nfkc_cf"])
+def test_normalisers_white_space_and_user_defined_pieces_against_the_library(kind, rule):
+    import sentencepiece
+
+    rng = random.Random(5)
+    texts = SPELLINGS + ["".join(rng.choice("ab c\t ﬁéＡ1①　 x\u0301") for _ in range(rng.randint(1, 20))) for _ in range(200)]
+    spec = dict(sentencepiece_bridge.fields(dict(sentencepiece_bridge.fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3])) if rule else {}
+    fallback = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    for extra, dummy, by_bytes, user in itertools.product((0, 1), repeat=4):
+        plain = PIECES if kind == sentencepiece_bridge.UNIGRAM else [(p, -float(i)) for i, (p, _) in enumerate(sorted(PIECES, key=lambda x: -len(x[0])))]
+        pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *fallback * by_bytes, *((p, s, 1) for p, s in plain), *[("<x>", 0.0, 4)] * user]
+        data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces) + field(2, field(3, kind) + field(4, len(pieces)) + field(35, by_bytes))
+        data += field(3, field(1, (rule or "identity").encode()) + (field(2, spec[2]) if rule else b"") + field(3, dummy) + field(4, extra) + field(5, 1))
+        codec, library = sentencepiece_bridge.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+        packed = codec.packed(texts)
+        ids = [sentencepiece_bridge.unpacked(x) for x in packed]
+        assert ids == library.encode(texts) and all(codec.parities(texts, packed))
+        assert not by_bytes or (codec.decode(ids) == library.decode(ids) and all(codec.round_trips(texts, packed)))
+
+
+def test_charsmap_has_the_keys_of_the_library():
+    import sentencepiece
+
+    made = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = dict(sentencepiece_bridge.fields(dict(sentencepiece_bridge.fields(made.serialized_model_proto()))[3]))
+    keys = sentencepiece_bridge.charsmap_keys(spec[2])
+    assert len(keys) > 10_000 and keys["ﬁ"] == "fi" and keys["a\u0301"] == "á" and keys["\t"] == " "

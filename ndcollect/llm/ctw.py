@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, materialize, mix64, text_bytes, text_of
+from .common import by_bytes, materialize, mix64, modest_batches, text_bytes, text_of
 
 DEPTH = 5
 STOP = 3  # from this depth on, trees are weighed by part; what is above is small
@@ -240,7 +240,7 @@ def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _slices(rows: pa.Table, most: int = 60_000, most_bytes: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, offsets and learn flags of a few documents at a time; a longer document comes alone."""
-    for batch in by_bytes(rows.select(["text", "learn"]).to_batches(max_chunksize=most), "text", most_bytes):
+    for batch in by_bytes(rows.select(["text", "learn"]).combine_chunks().to_batches(max_chunksize=most), "text", most_bytes):
         yield *text_bytes(batch.column("text")), np.asarray(batch.column("learn").to_pylist(), bool)
 
 
@@ -410,6 +410,7 @@ def score(docs: DataFrame, learn: Column, *, block_bytes: int = 12 << 20, most_p
     ``learn`` marks the rows whose texts train the model; both scores are log10 probabilities of the text.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     rows = docs.select("doc_id", text_of("text").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size, many = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1))).first()
     blocks = max(1, -(-(size or 0) // block_bytes), -(-many // 200_000))

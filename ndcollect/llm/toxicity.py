@@ -12,10 +12,12 @@ Restored words and their beginnings (4 to 8 letters, for stems with changing end
 lower bound of their log odds between toxic and clean texts. A document has its strongest hit and the sum of
 its others; a logistic fit on rows set aside turns them into a probability.
 
-Both models learn from at most ``per_class`` labelled rows a class (smallest hash of the id; equal texts
-once). That bound, and nothing else, bounds their n-grams and features, so they are small enough to broadcast.
-Scoring is one narrow pass over whole texts. There, a lattice none of whose paths spells the beginning of a
-weighed feature is left undecoded: no reading of it could be a hit.
+Both models learn from all labelled rows (equal texts once): every count is one of whole texts, summed over all
+tasks. What is broadcast follows the alphabet (runs of up to four letters) and the features that tell toxic from
+clean texts, not the rows. Toxic texts are decoded whole. Clean ones are counted twice: first words as they are
+written, which bounds a feature's weight from above; then with the lattices that may spell a feature which that
+bound leaves. Scoring is one narrow pass over whole texts. There, too, a lattice none of whose paths spells the
+beginning of a weighed feature is left undecoded: no reading of it could be a hit.
 
 Defined cases: null and empty texts have no hits and get the score of a text without any; rows without a label, with a
 null label or a null id are not learned from; a doc_id that is labelled twice counts as toxic if any label
@@ -27,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_mod, materialize, merged, modest_batches, text_of, tidy
+from .common import by_bytes, discard, fewer, id_mod, materialize, merged, modest_batches, scratch, text_of, tidy
 
 #: Look-alikes: what a character may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou", "&": "aeiou"}
@@ -48,16 +50,20 @@ _REPEAT, _DOUBLED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _SHORT, _PIECES, _JOINED = 3, 8, 5  # letters of a short piece, pieces of a parted word, letters of a beginning that shows one
 _ORDER = 4
 _EDGE = " "
+_HELD, _LETTERS = 200_000, 1 << 19  # counts that a task holds before it hands them on, and letters of words whose runs it counts at once
 
 
 def letter_grams(words: Counter[str]) -> Counter[str]:
     """Counts of the runs of one to four letters (with edges) of words."""
-    out: Counter[str] = Counter()
+    longest: Counter[str] = Counter()  # the longest run up to each letter; the others are its ends
     for word, n in words.items():
         w = _EDGE + word + _EDGE
-        for i in range(1, len(w)):
-            for k in range(min(_ORDER, i + 1)):
-                out[w[i - k : i + 1]] += n
+        for i in range(2, len(w) + 1):
+            longest[w[max(0, i - _ORDER) : i]] += n
+    out: Counter[str] = Counter()
+    for run, n in longest.items():
+        for k in range(len(run)):
+            out[run[k:]] += n
     return out
 
 
@@ -247,12 +253,20 @@ class Scorer:
                     found.append((w, best))
         return tuple(found)
 
+    def weighed(self, token: str) -> tuple[str, ...]:
+        """The features that a token's readings have; once features are weighed, those among them."""
+        if not self.weights:
+            return tuple({f for w in self.restore(token) for f in features(w)})
+        if self._fours is None:
+            self._fours = {f[1:5] for f in self.weights}
+        return tuple({f for w in self.restore(token) if w[:4] in self._fours for f in features(w) if f in self.weights})
+
     def joined(self, text: str) -> dict[str, float]:
         """Words parted into pieces, all short but for one at most, of which a known beginning runs over the first border."""
         if self._starts is None:
             self._starts = {f[1 : 1 + _JOINED] for f in self.weights if len(f) > _JOINED}
             self._begun = {x[:k] for x in self._starts for k in range(1, _JOINED + 1)}
-        words = [w if w[0].isalnum() and w[-1].isalnum() else _plain(w) for w in text.lower().split()]
+        words = [w if w.isalnum() or w[0].isalnum() and w[-1].isalnum() else _plain(w) for w in text.lower().split()]
         words = [w for w in words if w]
         sizes, starts, found = list(map(len, words)), self._starts, {}
         begun = self._begun
@@ -317,87 +331,186 @@ def _terms(evidence: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(top)), top > 0, top, rest])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton's method; the first column of ``x`` is ones."""
-    beta = np.zeros(x.shape[1])
+def logistic(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], terms: int, ridge: float = 0.05) -> np.ndarray:
+    """Ridge logistic regression by Newton's method: ``sums`` gives the log likelihood's gradient and information at coefficients."""
+    beta = np.zeros(terms)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - ridge * beta
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        step = np.linalg.solve(hess, grad)
+        grad, info = sums(beta)
+        step = np.linalg.solve(info + ridge * np.eye(terms), grad - ridge * beta)
         beta += step * min(1, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, per_class: int = 8000, min_texts: int = 6, least: float = 2.0) -> Scorer:
-    """A scorer from at most ``per_class`` rows of each class among the labelled rows that ``learn`` (of doc_id) admits.
+def _sums(rows: DataFrame, share: Column) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Gradient and information over all rows (toxic, top, rest, and how many texts have them), each text weighing ``share``."""
+    x = [F.lit(1.0), (F.col("top") > 0).cast("double"), F.col("top"), F.col("rest")]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+
+    def at(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
+        p = rows.select("*", (F.col("n") * share).alias("w"), (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("p"))
+        error, spread = F.col("w") * (F.col("toxic") - F.col("p")), F.col("w") * F.col("p") * (1 - F.col("p"))
+        got = list(p.agg(*[F.sum(error * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(spread * x[i] * x[j]).alias(f"h{i}{j}") for i, j in pairs]).first())
+        info = np.zeros((len(x), len(x)))
+        for (i, j), v in zip(pairs, got[len(x) :]):
+            info[i, j] = info[j, i] = v
+        return np.array(got[: len(x)]), info
+
+    return at
+
+
+def _rows(counts: Counter[str], **fixed: int) -> pa.RecordBatch:
+    """Counts as rows (key, n), with fixed numbers before them; the counter is empty then."""
+    n = len(counts)
+    out = pa.RecordBatch.from_arrays([*(pa.array(np.full(n, v, np.int32)) for v in fixed.values()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=[*fixed, "key", "n"])
+    counts.clear()
+    return out
+
+
+def _as_written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of letters of all texts (kind 0), and of the clean texts that have a feature in a word as it is written (kind 1)."""
+    words: Counter[str] = Counter()
+    clean: Counter[str] = Counter()
+    known: dict[str, tuple[str, ...]] = {}
+
+    def runs() -> Iterator[pa.RecordBatch]:
+        plain: Counter[str] = Counter()
+        part, size = Counter(), 0
+        for token, n in words.items():
+            c = _plain(token)
+            if c.isalpha() and not _REPEAT.search(c):
+                plain[c] += n
+        words.clear()
+        for c, n in plain.items():
+            part[c], size = n, size + len(c)
+            if size > _LETTERS:
+                yield _rows(letter_grams(part), kind=0)
+                part, size = Counter(), 0
+        yield _rows(letter_grams(part), kind=0)
+
+    for batch in by_bytes(batches, "text", 1 << 20):
+        for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            tokens = t.lower().split()
+            words.update(tokens)
+            if y:
+                continue
+            own: set[str] = set()
+            for token in {*tokens}:
+                got = known.get(token)
+                if got is None:
+                    if len(known) > _HELD // 2:
+                        known.clear()
+                    core = _plain(token)
+                    got = known[token] = tuple(features(core)) if core else ()
+                own.update(got)
+            clean.update(own)
+            if len(clean) > _HELD:
+                yield _rows(clean, kind=1)
+        if len(words) > _HELD:
+            yield from runs()
+    yield from runs()
+    yield _rows(clean, kind=1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, min_texts: int = 6, least: float = 2.0) -> Scorer:
+    """A scorer from all labelled rows that ``learn`` (of doc_id) admits.
 
     A feature is weighed if ``min_texts`` toxic texts have it and the lower bound of its log odds is above ``least``.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, learn, min_texts, least)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, learn: Column | None, min_texts: int, least: float) -> Scorer:
     spark = docs.sparkSession
     modest_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.where(learn) if learn is not None else known
+    if learn is not None:
+        known, docs = known.where(learn), docs.where(learn)
     known = materialize(known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "toxic-labels")
     size = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     empty = Scorer(CharacterModel(Counter()), rate=n1 / (n0 + n1) if n0 + n1 else 0.0)
     if not n0 or not n1:
         return empty
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = None
-    for c, n in ((0, n0), (1, n1)):
-        some = known.where((F.col("toxic") == c) & (draw < min(1.0, 1.2 * per_class / n))).orderBy(draw, "doc_id").limit(per_class)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select(F.col("doc_id"), text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = materialize(texts.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(4)) == 0), "toxic-sample")
-    learned = sample.where("NOT apart").repartition(spark.sparkContext.defaultParallelism)
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                words.update(c for c in map(_plain, t.lower().split()) if c.isalpha() and not _REPEAT.search(c))
-        grams = letter_grams(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
-
-    grams = learned.select("text").mapInArrow(letters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    scorer = Scorer(CharacterModel(Counter(), grams=Counter(dict(zip(grams["gram"].to_pylist(), grams["n"].to_pylist())))), rate=empty.rate)
-    shared = spark.sparkContext.broadcast(scorer)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-        for batch in batches:
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                own[y].update({f for w in shared.value.restored(t) for f in features(w)})
-        keys = list({*own[0], *own[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([own[0][k] for k in keys], pa.int64()), pa.array([own[1][k] for k in keys], pa.int64())], names=["feature", "n0", "n1"])
-
+    labelled = materialize(docs.select(F.col("doc_id"), text_of("text").alias("text")).join(known.where("toxic IN (0, 1)").hint("merge"), "doc_id").select("text", "toxic"), "toxic-labelled", "zstd")
+    texts = materialize(labelled.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(4)) == 0), "toxic-texts", "zstd")
+    discard(labelled)
+    learned, apart = texts.where("NOT apart").select("text", "toxic"), texts.where("apart").select("text", "toxic")
+
+    written = materialize(learned.mapInArrow(_as_written, "kind int, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "toxic-written")
+    grams = written.where("kind = 0").select("key", "n").toArrow()
+    scorer = Scorer(CharacterModel(Counter(), grams=Counter(dict(zip(grams["key"].to_pylist(), grams["n"].to_pylist())))), rate=empty.rate)
     m = {r[0]: r[1] for r in learned.groupBy("toxic").count().collect()}
     m0, m1 = m.get(0, 0), m.get(1, 0)
-    weight = F.log((F.col("n1") + 0.5) / (m1 + 1)) - F.log((F.col("n0") + 0.5) / (m0 + 1)) - F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    counted = learned.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = counted.where(F.col("n1") >= min_texts).select("feature", weight.alias("weight")).where(F.col("weight") > least).toArrow()
-    scorer.weights = dict(zip(best["feature"].to_pylist(), best["weight"].to_pylist()))
+
+    def having(rows: DataFrame) -> DataFrame:
+        """How many of the texts have a feature, decoded: any, or those weighed so far."""
+        shared = spark.sparkContext.broadcast(scorer)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, counts = _of_texts(shared.value), Counter()
+            for batch in by_bytes(batches, "text", 1 << 20):
+                for t in batch.column("text").to_pylist():
+                    counts.update(of(t))
+                    if len(counts) > _HELD:
+                        yield _rows(counts)
+            yield _rows(counts)
+            shared.value.forget()
+
+        return rows.select("text").mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+    def weighed(toxic: DataFrame, clean: DataFrame) -> DataFrame:
+        """Features, their toxic texts and weights; a weight falls as clean texts are added."""
+        a, b = F.col("n1") + 0.5, F.coalesce("n", F.lit(0)) + 0.5
+        weight = F.log(a / (m1 + 1)) - F.log(b / (m0 + 1)) - F.sqrt(1 / a + 1 / b)
+        return toxic.join(clean, "key", "left").select("key", "n1", weight.alias("weight")).where(F.col("weight") > least)
+
+    toxic = having(learned.where("toxic = 1")).where(F.col("n") >= min_texts).withColumnRenamed("n", "n1")
+    likely = materialize(weighed(toxic, written.where("kind = 1").select("key", "n")), "toxic-likely")
+    scorer.weights = dict.fromkeys(likely.select("key").toArrow()["key"].to_pylist(), 1.0)
+    if scorer.weights:
+        best = weighed(likely.select("key", "n1"), having(learned.where("toxic = 0"))).toArrow()
+        scorer = Scorer(scorer.characters, dict(zip(best["key"].to_pylist(), best["weight"].to_pylist())), rate=empty.rate)
+    if not scorer.weights:
+        return scorer
     shared = spark.sparkContext.broadcast(scorer)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 1 << 20):
             x = [shared.value.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "top", "rest"])
+        shared.value.forget()
 
-    got = sample.where("apart").repartition(spark.sparkContext.defaultParallelism).select("text", "toxic").mapInArrow(weigh, "toxic int, top double, rest double").toArrow()
-    y, x = got["toxic"].to_numpy().astype(float), _terms(np.column_stack([got["top"].to_numpy(), got["rest"].to_numpy()]))
-    if not scorer.weights or len(set(y)) < 2:
+    shown = materialize(fewer(apart.mapInArrow(weigh, "toxic int, top double, rest double").groupBy("toxic", "top", "rest").agg(F.count("*").alias("n"))), "toxic-evidence")
+    a = {r[0]: r[1] for r in shown.groupBy("toxic").agg(F.sum("n")).collect()}
+    if len(a) < 2:
         return Scorer(scorer.characters, rate=empty.rate)
-    share = np.where(y == 1, n1 / max((y == 1).sum(), 1), n0 / max((y == 0).sum(), 1))
-    beta = logistic(x, y, share / share.mean())
-    scorer.fit = tuple(float(b) for b in beta)
+    share, mean = {0: n0 / a[0], 1: n1 / a[1]}, (n0 + n1) / (a[0] + a[1])
+    scorer.fit = tuple(float(b) for b in logistic(_sums(shown, F.when(F.col("toxic") == 1, share[1] / mean).otherwise(share[0] / mean)), 4))
     return scorer
 
 
+def _of_texts(scorer: Scorer) -> Callable[[str], set[str]]:
+    """The features of a text, each token's looked up once."""
+    known: dict[str, tuple[str, ...]] = {}
+
+    def of(text: str) -> set[str]:
+        out: set[str] = set()
+        for t in scorer.tokens(text):
+            got = known.get(t)
+            if got is None:
+                if len(known) > _HELD // 2:
+                    known.clear()
+                got = known[t] = scorer.weighed(t)
+            out.update(got)
+        return out
+
+    return of
+
+
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold`` on), restored_hits (restored words that count, sorted)."""
     modest_batches(docs.sparkSession)

@@ -234,6 +234,37 @@ def test_toxicity_with_one_class(spark, docs_of):
         assert {r.score for r in toxicity.score(docs, scorer).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, docs_of):
+    """Over 8,000 clean and 3,000 toxic texts: letters, weights and the fit by plain loops over all of them."""
+    rows, labels = toxic_corpus(12_500)
+    rows = [(i, " ".join(t.split()[-8:])) for i, t in rows]
+    docs, table = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scorer = toxicity.fit(docs, table)
+    distinct = {}
+    for (_, t), (_, _, y) in zip(rows, labels):
+        distinct[t] = max(y, distinct.get(t, 0))
+    apart = {r.text for r in docs.selectExpr("text", "pmod(xxhash64(text), 4) = 0 AS apart").where("apart").collect()}
+    learned = {t: y for t, y in distinct.items() if t not in apart}
+    assert sum(y == 0 for y in distinct.values()) > 8000
+    words = Counter(c for t in learned for c in map(toxicity._plain, t.lower().split()) if c.isalpha() and not toxicity._REPEAT.search(c))
+    assert scorer.characters.counts == toxicity.CharacterModel(words).counts
+
+    reader, n = toxicity.Scorer(scorer.characters), (Counter(), Counter())
+    for t, y in learned.items():
+        n[y].update({f for w in reader.restored(t) for f in toxicity.features(w)})
+    m = Counter(learned.values())
+    weights = {f: np.log((k + 0.5) / (m[1] + 1)) - np.log((n[0][f] + 0.5) / (m[0] + 1)) - np.sqrt(1 / (k + 0.5) + 1 / (n[0][f] + 0.5)) for f, k in n[1].items() if k >= 6}
+    weights = {f: w for f, w in weights.items() if w > 2}
+    assert scorer.weights.keys() == weights.keys() and all(abs(scorer.weights[f] - w) < 1e-9 for f, w in weights.items())
+
+    x = toxicity._terms(np.array([scorer.evidence(t) for t in distinct if t in apart]))
+    y = np.array([distinct[t] for t in distinct if t in apart], float)
+    shares = Counter(y for _, _, y in labels)
+    weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
+    beta, p = np.array(scorer.fit), 1 / (1 + np.exp(-np.clip(x @ np.array(scorer.fit), -30, 30)))
+    assert np.abs(x.T @ (weight / weight.mean() * (y - p)) - 0.05 * beta).max() < 1e-3  # no slope is left
+
+
 def all_readings(token, model):
     """The best score of the full lattice, path by path, and its readings."""
     paths = {(toxicity._EDGE, ""): 0.0}  # the whole text before a place, and its reading

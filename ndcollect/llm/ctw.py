@@ -5,7 +5,8 @@ preceding bytes. A node estimates its bit by Krichevsky-Trofimov counts, and its
 its own estimate and half the product of its children's, so every depth takes part by the evidence of the
 training texts. Scoring keeps the trained counts: a bit's probability is, from the root down, the mixture of
 the nodes' estimates under the posterior weights. A text is its bytes and an end byte (0xFF, never in UTF-8),
-the context before its start is that same byte, so scores are log probabilities of whole texts.
+the context before its start is that same byte, so scores are log probabilities of whole texts. With ``plain``,
+a text is read as the base score reads it: A-Z in lower case, words parted by one space.
 
 The model grows with the corpus and is never held in one place:
 
@@ -39,11 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, materialize, mix64, modest_batches, text_bytes, text_of
+from .common import by_bytes, materialize, mix64, modest_batches, scratch, text_bytes, text_of
 
-DEPTH = 5
+DEPTH = 6
 STOP = 3  # from this depth on, trees are weighed by part; what is above is small
 END = 255
+_DOC_BITS = 64 - 8 * (DEPTH + 1)  # what a key leaves of a 64-bit word numbers the documents of a slice
 _LOG2 = np.log(2.0)
 
 
@@ -162,7 +164,7 @@ class Roots:
             weight = np.logaddexp(kt, logw) - _LOG2
             self.node.append(own)
             self.share.append(np.exp(kt - _LOG2 - weight).astype(np.float32))
-            self.kt.append(((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32))
+            self.kt.append((n1 + 0.5) / (n0 + n1 + 1))  # in 32 bits it would be 1 from 2**24 ones on, and a zero impossible
             if d:
                 own, to = np.unique(((own >> 16) << 8) | (own & 255), return_inverse=True)
                 logw, n0, n1 = np.bincount(to, weight, len(own)), np.bincount(to, n0, len(own)), np.bincount(to, n1, len(own))
@@ -238,20 +240,27 @@ def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
     return ((latest % groups) * np.uint64(_SPLIT) + third % np.uint64(_SPLIT)).astype(np.int64)
 
 
-def _slices(rows: pa.Table, most: int = 60_000, most_bytes: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _slices(rows: pa.Table, most: int = 1 << _DOC_BITS, most_bytes: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, offsets and learn flags of a few documents at a time; a longer document comes alone."""
     for batch in by_bytes(rows.select(["text", "learn"]).combine_chunks().to_batches(max_chunksize=most), "text", most_bytes):
         yield *text_bytes(batch.column("text")), np.asarray(batch.column("learn").to_pylist(), bool)
 
 
+def _plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as their tokens: A-Z in lower case, words parted by one space."""
+    low = data.tobytes().lower()
+    texts = [b" ".join(low[a:b].split()) for a, b in zip(offsets[:-1], offsets[1:])]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _sorted_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, and for every place in key order the document and the index of its key."""
     key, ends = contexts(data, offsets)
     doc = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
-    both = np.sort((key << np.uint64(16)) | doc)
-    key = both >> np.uint64(16)
+    both = np.sort((key << np.uint64(_DOC_BITS)) | doc)
+    key = both >> np.uint64(_DOC_BITS)
     new = np.r_[True, key[1:] != key[:-1]]
-    return key[new], (both & np.uint64(0xFFFF)).astype(np.int64), np.cumsum(new) - 1
+    return key[new], (both & np.uint64((1 << _DOC_BITS) - 1)).astype(np.int64), np.cumsum(new) - 1
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +268,19 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return own, np.bincount(to, np.concatenate(counts), len(own)).astype(np.int64)
 
 
-def _request(parts: int):
+def _request(parts: int, plain: bool, most_held: int = 1 << 21):
     def run(key, rows):
         grams, words = ([], []), ([], [])
+        held = 0
         for data, offsets, learn in _slices(rows):
+            if plain:
+                data, offsets = _plain(data, offsets)
             own, doc, of = _sorted_places(data, offsets)
             grams[0].append(own)
-            grams[1].append(np.bincount(of, learn[doc], len(own)))
+            grams[1].append(np.bincount(of, learn[doc], len(own)).astype(np.int64))
+            held += len(own)
+            if held > most_held:
+                grams, held = tuple([x] for x in _merge(*grams)), 0
             low = data.tobytes().lower()
             count: Counter[bytes] = Counter()
             seen: set[bytes] = set()
@@ -371,7 +386,7 @@ def _answer(roots):
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("learn", T.BooleanType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
-def _score(tokens: int, distinct: int):
+def _score(tokens: int, distinct: int, plain: bool):
     def run(key, rows, answers):
         got = {}
         for kind, dtype in ((_GRAM, np.float32), (_WORD, np.int64)):
@@ -381,6 +396,9 @@ def _score(tokens: int, distinct: int):
             got[kind] = keys[order], (np.concatenate([v for _, v in own]) if own else np.zeros(0, dtype))[order]
         columns: list[list] = [[] for _ in range(5)]
         for data, offsets, learn in _slices(rows):
+            columns[0] += np.diff(offsets).tolist()
+            if plain:
+                data, offsets = _plain(data, offsets)
             own, doc, of = _sorted_places(data, offsets)
             log = got[_GRAM][1][np.searchsorted(got[_GRAM][0], own)].astype(float)
             score = np.bincount(doc, log[of], len(offsets) - 1)
@@ -393,7 +411,6 @@ def _score(tokens: int, distinct: int):
             ends = np.cumsum(per)
             total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[np.concatenate([[0], ends])])
             last = count[_END_WORD]
-            columns[0] += np.diff(offsets).tolist()
             columns[1] += (per + 1).tolist()
             columns[2] += (total((c > 0).astype(np.int64)) + int(last > 0)).tolist()
             columns[3] += (total(base) + np.log10((last + 1) / (tokens + 1 * (distinct + 1)))).tolist()
@@ -404,10 +421,11 @@ def _score(tokens: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, learn: Column, *, block_bytes: int = 12 << 20, most_parts: int = 4096) -> DataFrame:
+def score(docs: DataFrame, learn: Column, *, plain: bool = False, block_bytes: int = 12 << 20, most_parts: int = 4096) -> DataFrame:
     """doc_id, learn, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
-    ``learn`` marks the rows whose texts train the model; both scores are log10 probabilities of the text.
+    ``learn`` marks the rows whose texts train the model; both scores are log10 probabilities of the text. With
+    ``plain`` they are of the same thing, its tokens; ``n_bytes`` are those of the text as it is.
     """
     spark = docs.sparkSession
     modest_batches(spark)
@@ -416,16 +434,18 @@ def score(docs: DataFrame, learn: Column, *, block_bytes: int = 12 << 20, most_p
     blocks = max(1, -(-(size or 0) // block_bytes), -(-many // 200_000))
     parts = _SPLIT * max(2, min(-(-blocks // _SPLIT), most_parts // _SPLIT))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    requests = materialize(dealt.groupBy("block").applyInArrow(_request(parts), _REQUEST), "ctw-requests")
-    words, grams = (requests.where(F.col("kind") == k) for k in (_WORD, _GRAM))
-    totals = materialize(_summed(words, blocks).groupBy("part").applyInArrow(_count_words, _TOTALS), "ctw-words")
-    tokens, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    trees = materialize(_summed(grams, blocks).groupBy("part").applyInArrow(_weigh_part, _TREES), "ctw-trees")
-    roots = spark.sparkContext.broadcast(_collect_roots(trees))
-    answers = materialize(_by_group(trees.select("part", "keys", "mixed"), grams, blocks, _answer(roots)), "ctw-answers")
-    answers = answers.unionByName(_by_group(totals, words, blocks, _answer_words))
+    with scratch(spark) as keep:  # what the answers are made from goes once they are written
+        requests = materialize(dealt.groupBy("block").applyInArrow(_request(parts, plain), _REQUEST), "ctw-requests")
+        words, grams = (requests.where(F.col("kind") == k) for k in (_WORD, _GRAM))
+        totals = materialize(_summed(words, blocks).groupBy("part").applyInArrow(_count_words, _TOTALS), "ctw-words")
+        tokens, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        trees = materialize(_summed(grams, blocks).groupBy("part").applyInArrow(_weigh_part, _TREES), "ctw-trees")
+        roots = spark.sparkContext.broadcast(_collect_roots(trees))
+        answers = _by_group(trees.select("part", "keys", "mixed"), grams, blocks, _answer(roots))
+        answers = materialize(answers.unionByName(_by_group(totals, words, blocks, _answer_words)), "ctw-answers")
+        keep.append(answers)
     schema = T.StructType([docs.schema["doc_id"], *SCORES.fields[1:]])
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(tokens, distinct), schema)
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(tokens, distinct, plain), schema)
     return out.select("*", F.lit(tokens).cast("long").alias("train_tokens"), (-F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 

@@ -45,7 +45,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ctw.score(table(spark, sf_dir, "documents"), id_mod("doc_id", 7) != 2)
+    out = ctw.score(table(spark, sf_dir, "documents"), id_mod("doc_id", 7) != 2, plain=True)
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from ndcollect.llm import ctw, langid, toxicity
+from ndcollect.llm import queries as llm_queries
 from ndcollect.llm.common import id_mod
 
 SYLLABLES = {"aa": "ba ko ti lu mer dan".split(), "bb": "sch ung eit ver ich ol".split(), "cc": "eau oui ré tion ment ç".split()}
@@ -187,6 +188,29 @@ def test_ctw_against_plain_recursion(docs_of, monkeypatch, group):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in tokens))
 
 
+def test_lm_scoring_scores_the_tokens_that_the_base_scores(docs_of, spark, tmp_path):
+    rows, _ = corpus(60, 4)
+    odd = [(i, t.encode().upper().decode().replace(" ", "\t \n") + "\x0b" if zlib.crc32(str(i).encode()) % 7 == 2 else t) for i, t in rows] + [(200, None), (201, " \n")]
+    docs_of(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in llm_queries.op7_lm_scoring(spark, str(tmp_path)).collect()}
+    texts = [b" ".join((t or "").encode().lower().split()) for _, t in odd]
+    learn = [t for (i, _), t in zip(odd, texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for (i, t), s in zip(odd, brute_ctw(learn, texts, ctw.DEPTH)):
+        assert got[i].score == pytest.approx(s, rel=1e-4) and got[i].n_bytes == len((t or "").encode())
+    held = [r for r in got.values() if r.held_out]
+    assert len(held) > 4 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_ctw_is_finite_after_very_many_equal_bits():
+    key, byte = np.array([0x6162000000000061], np.uint64) >> np.uint64(8 * (7 - ctw.DEPTH)), int("61", 16)
+    key = (key & ~np.uint64(255)) | np.uint64(byte)
+    latest = int(key[0]) >> (8 * (ctw.DEPTH - 1))
+    node = np.array([latest << 8 | (byte | 256) >> (8 - k) for k in range(8)])
+    n1 = np.where(np.arange(8) == 0, 1 << 26, 1)  # never a zero in the first bit, which is the key's
+    roots = ctw.Roots(node, np.full(8, -1e9), np.where(np.arange(8) == 0, 0, 1), n1)
+    assert -30 < roots.log10(key, np.full((1, 8), 1e-8, np.float32))[0] < -7
+
+
 def test_ctw_of_next_to_nothing(docs_of):
     docs = docs_of([(1, "abc"), (2, None)])
     assert ctw.score(docs, id_mod("doc_id", 7) == 99).count() == 2
